@@ -24,5 +24,13 @@ def op2_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_rendezvous_shards)}
+def op4_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from termloom.llm.tokens import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024)
+
+
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_rendezvous_shards, op4_prefix_token_counts)}
 ORACLES: dict[str, str] = {}
