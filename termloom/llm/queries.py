@@ -32,5 +32,15 @@ def op4_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_rendezvous_shards, op4_prefix_token_counts)}
+def op6_guess_cost_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from termloom.llm.secret_scan import scan_secrets
+
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    base = F.expr("filter(spans, s -> s.kind <> 'guess')")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_rendezvous_shards, op4_prefix_token_counts, op6_guess_cost_secrets)}
 ORACLES: dict[str, str] = {}
