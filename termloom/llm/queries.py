@@ -42,5 +42,13 @@ def op6_guess_cost_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_rendezvous_shards, op4_prefix_token_counts, op6_guess_cost_secrets)}
+def op7_random_index_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from termloom.llm.quality import fit, held_out, labelled_sample, score_quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(*labelled_sample(docs, table(spark, sf_dir, "labels")))
+    return score_quality(docs, model, 0.3).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_rendezvous_shards, op4_prefix_token_counts, op6_guess_cost_secrets, op7_random_index_quality)}
 ORACLES: dict[str, str] = {}
