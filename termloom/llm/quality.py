@@ -25,6 +25,8 @@ from termloom.llm._words import UNBLANK, Words, mix
 SAMPLE_ROWS, SAMPLE_BYTES = 4000, 48 << 20
 WORDS, SHAPES, DIMS, NONZERO, HIDDEN = 1 << 15, 1 << 10, 24, 4, 16
 SEED = 7
+#: Standard deviations at which a feature is clipped, so that texts of one word do not drown the other features.
+FAR = 3.0
 #: Bytes of text worked on at a time.
 PART = 1 << 20
 
@@ -112,7 +114,7 @@ class QualityModel:
 
     def logits(self, features: np.ndarray) -> np.ndarray:
         w1, b1, w2, b2 = self.layers
-        x = (features - self.mean) / self.scale
+        x = np.clip((features - self.mean) / self.scale, -FAR, FAR)
         # sums of products in a fixed order, whatever the number of rows
         hidden = np.tanh(np.einsum("ij,jk->ik", x, w1) + b1)
         return np.einsum("ij,j->i", hidden, w2) + b2[0]
@@ -122,22 +124,29 @@ class QualityModel:
 
 
 def fit(texts: list[bytes], labels: np.ndarray, steps: int = 1500) -> QualityModel:
-    """Fit on rows in a given order; every fifth row is kept for the temperature. Without rows of both labels the model is sure of nothing."""
+    """Fit on rows in a given order: of every five, two make the word vectors, two the network, one the temperature.
+
+    The network must not learn on the texts that made the vectors, or it would
+    rely on vectors of words that no other text has. Without network rows of
+    both labels the model is sure of nothing.
+    """
     index = index_vectors()
-    held = np.arange(len(texts)) % 5 == 4
-    vectors = word_vectors([t for t, h in zip(texts, held) if not h], index)
+    role = np.arange(len(texts)) % 5
+    held = role == 4
+    vectors = word_vectors([t for t, r in zip(texts, role) if r < 2], index)
     width = 2 * DIMS + 2
     x = np.concatenate([pool(texts[i : i + 200], vectors, index) for i in range(0, len(texts), 200)]) if texts else np.zeros((0, width))
     y = np.asarray(labels, dtype=np.float64)
     rng = np.random.default_rng(SEED)
     layers = [rng.normal(0, width**-0.5, (width, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1)]
     model = QualityModel(vectors, index, np.zeros(width), np.ones(width), layers, 1.0)
-    xt, yt = x[~held], y[~held]
+    own = (role == 2) | (role == 3)
+    xt, yt = x[own], y[own]
     if len(set(yt.tolist())) < 2:
         model.layers = [np.zeros_like(p) for p in layers]
         return model
     model.mean, model.scale = xt.mean(0), xt.std(0) + 1e-3
-    z = (xt - model.mean) / model.scale
+    z = np.clip((xt - model.mean) / model.scale, -FAR, FAR)
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in layers]
     for step in range(1, steps + 1):
         w1, b1, w2, b2 = layers
@@ -145,7 +154,7 @@ def fit(texts: list[bytes], labels: np.ndarray, steps: int = 1500) -> QualityMod
         p = 1 / (1 + np.exp(-np.clip(hidden @ w2 + b2, -60, 60)))
         d = (p - yt) / len(yt)
         dh = np.outer(d, w2) * (1 - hidden**2)
-        grads = [z.T @ dh + 1e-3 * w1, dh.sum(0), hidden.T @ d + 1e-3 * w2, np.array([d.sum()])]
+        grads = [z.T @ dh + 3e-4 * w1, dh.sum(0), hidden.T @ d + 3e-4 * w2, np.array([d.sum()])]
         for i, g in enumerate(grads):
             m, v = moments[i]
             m = 0.9 * m + 0.1 * g
