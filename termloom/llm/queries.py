@@ -50,5 +50,11 @@ def op7_random_index_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model, 0.3).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_rendezvous_shards, op4_prefix_token_counts, op6_guess_cost_secrets, op7_random_index_quality)}
+def op8_min_cut_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from termloom.llm.html_extract import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_rendezvous_shards, op4_prefix_token_counts, op6_guess_cost_secrets, op7_random_index_quality, op8_min_cut_text)}
 ORACLES: dict[str, str] = {}
