@@ -24,6 +24,12 @@ def op2_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_byte_index_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from termloom.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), 3, 2)
+
+
 def op4_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -56,5 +62,5 @@ def op8_min_cut_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_rendezvous_shards, op4_prefix_token_counts, op6_guess_cost_secrets, op7_random_index_quality, op8_min_cut_text)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_rendezvous_shards, op3_byte_index_simhash, op4_prefix_token_counts, op6_guess_cost_secrets, op7_random_index_quality, op8_min_cut_text)}
 ORACLES: dict[str, str] = {}
