@@ -62,5 +62,14 @@ def op8_min_cut_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_rendezvous_shards, op3_byte_index_simhash, op4_prefix_token_counts, op6_guess_cost_secrets, op7_random_index_quality, op8_min_cut_text)}
+def op10_suffix_array_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from termloom.llm.decontam import mark_contaminated, n_hit
+
+    marked = mark_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10, ["doc_id"])
+    marked = marked.withColumn("n_hit", n_hit())
+    listed = F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256")
+    return marked.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed, (F.col("n_hit") > 0).alias("contaminated"))
+
+
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_rendezvous_shards, op3_byte_index_simhash, op4_prefix_token_counts, op6_guess_cost_secrets, op7_random_index_quality, op8_min_cut_text, op10_suffix_array_decontam)}
 ORACLES: dict[str, str] = {}
