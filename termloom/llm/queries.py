@@ -62,6 +62,12 @@ def op8_min_cut_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op9_ivf_pq_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from termloom.llm.ann import nearest_neighbours
+
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op10_suffix_array_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     from termloom.llm.decontam import mark_contaminated, n_hit
 
@@ -71,5 +77,5 @@ def op10_suffix_array_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed, (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_rendezvous_shards, op3_byte_index_simhash, op4_prefix_token_counts, op6_guess_cost_secrets, op7_random_index_quality, op8_min_cut_text, op10_suffix_array_decontam)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_rendezvous_shards, op3_byte_index_simhash, op4_prefix_token_counts, op6_guess_cost_secrets, op7_random_index_quality, op8_min_cut_text, op9_ivf_pq_neighbours, op10_suffix_array_decontam)}
 ORACLES: dict[str, str] = {}
