@@ -38,6 +38,13 @@ def op4_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024)
 
 
+def op5_fm_index_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from termloom.llm.substring import drop_repeats
+
+    found = drop_repeats(table(spark, sf_dir, "documents"), 20)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_guess_cost_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from termloom.llm.secret_scan import scan_secrets
 
@@ -77,5 +84,5 @@ def op10_suffix_array_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed, (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_rendezvous_shards, op3_byte_index_simhash, op4_prefix_token_counts, op6_guess_cost_secrets, op7_random_index_quality, op8_min_cut_text, op9_ivf_pq_neighbours, op10_suffix_array_decontam)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_rendezvous_shards, op3_byte_index_simhash, op4_prefix_token_counts, op5_fm_index_repeats, op6_guess_cost_secrets, op7_random_index_quality, op8_min_cut_text, op9_ivf_pq_neighbours, op10_suffix_array_decontam)}
 ORACLES: dict[str, str] = {}
