@@ -126,7 +126,7 @@ def version_key(c: Column) -> Column:
 def stem_meta(stem: Column) -> Column:
     """struct(code, year) from a file name: first isolated six digits or the first part, first year anywhere."""
     six = F.regexp_extract(stem, r"(?<!\p{Nd})(\p{Nd}{6})(?!\p{Nd})", 1)
-    head = F.get(F.split(stem, rf"[_\-]|{BLANK}"), F.lit(0))
+    head = F.get(F.filter(F.split(stem, rf"[_\-]|{BLANK}"), lambda x: x != ""), F.lit(0))
     return F.struct(F.when(six != "", six).otherwise(F.coalesce(head, F.lit(""))).alias("code"), F.regexp_extract(stem, r"((?:19|20)\p{Nd}{2})", 1).alias("year"))
 
 
