@@ -1 +1 @@
-
+"""Structured Streaming: the same analysis over files as they arrive."""
