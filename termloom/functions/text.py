@@ -27,7 +27,9 @@ PARAGRAPH = rf"\n{PAD}\n{BLANK}*"
 def digit_class() -> str:
     """Everything Python calls a digit: the decimal digits, and the other digits by rule."""
     others = [i for i in range(0x110000) if chr(i).isdigit() and not chr(i).isdecimal()]
-    return r"\p{Nd}" + "".join(rf"\x{{{i:X}}}" for i in others)
+    heads = [i for i in others if i - 1 not in others]
+    ends = [i for i in others if i + 1 not in others]
+    return r"\p{Nd}" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in zip(heads, ends))
 
 
 def strip(c: Column) -> Column:

@@ -67,7 +67,7 @@ def test_sentences(spark):
     assert column(spark, given, text.sentences) == [[han, han + "的第二句"], ["绿色发展战略规划署稳步实施完成"], [han + "继续推进"], [han], [han], [], []]
     assert column(spark, given[-1:], lambda c: text.sentences(c, drop_tables=False)) == [["no han text in this sentence at all. None."]]
     assert column(spark, ["生 态；环 境保护工作持续推进中，"], lambda c: text.sentences(c, compact=True)) == [["生态；环境保护工作持续推进中"]]
-    assert re.search(r"\\x\{B2\}", text.digit_class())
+    assert re.search(r"\\x\{B2\}-\\x\{B3\}", text.digit_class())
 
 
 def test_counts(spark):
