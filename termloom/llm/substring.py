@@ -71,11 +71,20 @@ def runs(texts: list[bytes], window: int, gram: int = GRAM) -> tuple[np.ndarray,
 
 
 def _anchors(window: int):
+    """(anchor, th, place, n) of the first two places of an anchor in a text; n is 0 but for the first, where it counts them all."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches, "text"):
             text, anchor, place, _, _ = runs(texts, window)
+            order = np.lexsort((place, anchor, text))
+            text, anchor, place = text[order], anchor[order], place[order]
+            head = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1])])) if len(text) else np.zeros(0, np.int64)
+            size = np.diff(np.concatenate([head, [len(text)]]))
+            second = head[size > 1] + 1
+            take = np.concatenate([head, second])
+            n = np.concatenate([size, np.zeros(len(second), np.int64)])
             th = batch.column(1).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(th[text]), pa.array(place.astype(np.int32))], ["anchor", "th", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[take].view(np.int64)), pa.array(th[text[take]]), pa.array(place[take].astype(np.int32)), pa.array(n.astype(np.int32))], ["anchor", "th", "place", "n"])
 
     return run
 
@@ -84,28 +93,41 @@ PASSAGE = "sid binary, anchor long, hot boolean, none boolean, id long, th long,
 
 
 def _passages(window: int):
-    """Rows of PASSAGE for one row of every text; repeats inside a text come with a null passage."""
+    """Rows of PASSAGE for one row of every text.
+
+    A passage that stands in its text before is removed there for sure: such
+    stretches are joined and come as rows without sid and passage.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches, "text"):
-            text, anchor, place, first, count = runs(texts, window)
+            text, anchor, _, first, count = runs(texts, window)
             bounds = np.searchsorted(text, np.arange(len(texts) + 1))
             none, ids, th, th2, places = (batch.column(i).to_pylist() for i in range(1, 6))
+            anchor = anchor.view(np.int64)
             out: list[tuple] = []
             for t, raw in enumerate(texts):
-                known = {p: hot for p, hot in ((x["place"], x["hot"]) for x in places[t])}
+                known = {x["anchor"]: x["hot"] for x in places[t]}
                 words = raw.split()
                 seen: set[bytes] = set()
+                gone: list[list[int]] = []
+                own = (none[t], ids[t], th[t], th2[t])
                 for r in range(bounds[t], bounds[t + 1]):
-                    hot = known.get(int(place[r]))
+                    name = int(anchor[r])
+                    hot = known.get(name)
                     if hot is None:
                         continue
                     a, k = int(first[r]), int(count[r])
                     for s, m in [(a + j, 1) for j in range(k)] if hot else [(a, k)]:
                         passage = b" ".join(words[s : s + m + window - 1])
-                        again = passage in seen
-                        seen.add(passage)
-                        out.append((xxhash.xxh3_128_digest(passage), int(anchor[r].astype(np.int64)), hot, none[t], ids[t], th[t], th2[t], s, m, None if again else passage))
+                        if passage not in seen:
+                            seen.add(passage)
+                            out.append((xxhash.xxh3_128_digest(passage), name, hot, *own, s, m, passage))
+                        elif gone and s <= gone[-1][1]:
+                            gone[-1][1] = s + m + window - 1
+                        else:
+                            gone.append([s, s + m + window - 1])
+                out += [(None, 0, False, *own, s, e - s - window + 1, None) for s, e in gone]
             cols = list(zip(*out)) if out else [[]] * 10
             kinds = [pa.binary(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["sid", "anchor", "hot", "none", "id", "th", "th2", "first", "windows", "passage"])
@@ -202,10 +224,10 @@ def drop_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     ident = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"))
 
     # 1. anchors that are found at more than one place; copies of a text are the same place
-    spots = rows.select("text", "th").mapInArrow(_anchors(window), "anchor long, th long, place int")
+    spots = rows.select("text", "th").mapInArrow(_anchors(window), "anchor long, th long, place int, n int")
     spot = F.xxhash64("th", "place")
-    twice = spots.groupBy("anchor").agg(F.min(spot).alias("a"), F.max(spot).alias("b"), F.count(F.lit(1)).alias("n")).filter("a <> b").select("anchor", (F.col("n") >= HOT).alias("hot"))
-    places = spots.join(stage(twice), "anchor").groupBy("th").agg(F.collect_set(F.struct("place", "hot")).alias("places"))
+    twice = spots.groupBy("anchor").agg(F.min(spot).alias("a"), F.max(spot).alias("b"), F.sum("n").alias("n")).filter("a <> b").select("anchor", (F.col("n") >= HOT).alias("hot"))
+    places = spots.filter("n > 0").select("anchor", "th").join(stage(twice), "anchor").groupBy("th").agg(F.collect_set(F.struct("anchor", "hot")).alias("places"))
     reps = rows.groupBy("th", "th2").agg(F.min(ident).alias("rep"))
     texts = stage(reps.join(stage(places), "th", "left").select("th", "th2", "rep", "places"))
 
@@ -214,8 +236,9 @@ def drop_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     own = rows.join(wanted, ["th", "th2"]).filter(ident == F.col("rep"))
     passages = stage(own.select("text", F.col("rep.none").alias("none"), F.col("rep.id").alias("id"), "th", "th2", "places").mapInArrow(_passages(window), PASSAGE))
     place = F.struct("none", "id", "th", "th2", "first")
-    firsts = stage(passages.groupBy("sid").agg(F.min(place).alias("earliest")))
+    firsts = stage(passages.filter("sid is not null").groupBy("sid").agg(F.min(place).alias("earliest")))
     known = passages.join(firsts, "sid")
+    here = passages.filter("sid is null").select("th", "th2", F.col("first").alias("s"), (F.col("first") + F.col("windows") + (window - 1)).alias("e"))
     later = known.filter(place != F.col("earliest")).select("th", "th2", F.col("first").alias("s"), (F.col("first") + F.col("windows") + (window - 1)).alias("e"))
 
     # 3. windows of the distinct passages that start earlier in another one
@@ -224,7 +247,7 @@ def drop_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     earlier = shards.mapInArrow(_search(window), "th long, th2 long, s int, e int")
 
     # 4. what goes, by text
-    spans = later.unionAll(earlier).groupBy("th", "th2").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    spans = here.unionAll(later).unionAll(earlier).groupBy("th", "th2").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
     found = stage(texts.select("th", "th2", "rep").join(spans, ["th", "th2"], "left"))
     joined = rows.join(found, ["th", "th2"]).select("doc_id", (ident != F.col("rep")).alias("copy"), "spans", "text")
     return joined.mapInArrow(_apply(window), f"doc_id {kind}, n_words long, n_removed long, kept binary")
