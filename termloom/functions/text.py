@@ -56,8 +56,9 @@ def han_count(c: Column, last: str = "龥") -> Column:
 
 
 def is_table_like(c: Column) -> Column:
-    numeric = F.length(F.regexp_replace(c, rf"[^{digit_class()},.%\-—、|/ ]", ""))
-    return (F.length(c) == 0) | (numeric / F.length(c) > F.lit(MOST_NUMERIC)) | (han_count(c) < LEAST_HAN)
+    enough_han = c.rlike(rf"^(?:[^一-龥]*+[一-龥]){{{LEAST_HAN}}}")  # stops at the last one needed
+    numeric = F.regexp_count(c, F.lit(rf"[{digit_class()},.%\-—、|/ ]"))
+    return (F.length(c) == 0) | ~enough_han | (numeric / F.length(c) > F.lit(MOST_NUMERIC))
 
 
 def _pack(c: Column, delimiter: str, max_len: int) -> Column:
