@@ -139,7 +139,7 @@ def _search(index, k: int, everything: bool):
 
     def run(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(asked):
-            return pd.DataFrame({"q": [], "found": []})
+            return pd.DataFrame({"q": [], "found": []}, dtype=object)
         ix: Index = index.value
         x, q = _vectors(rows["v"], ix.width), _vectors(asked["q"], ix.width)
         codes = np.frombuffer(b"".join(rows["code"]), dtype=np.uint8).reshape(len(x), -1)
@@ -163,7 +163,7 @@ def _search(index, k: int, everything: bool):
                 good = good[exact[j, good] >= score[min(k, len(good) - 1)]]  # k + 1 and what ties with the last
                 out_q.append(raw[i + j])
                 out.append([{"score": float(exact[j, g]), "ids": ids[best[j, g]]} for g in good.tolist()])
-        return pd.DataFrame({"q": out_q, "found": out})
+        return pd.DataFrame({"q": out_q, "found": out}, dtype=object)
 
     return run
 
