@@ -19,9 +19,9 @@ def op2_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from termloom.llm.sharding import shard_rows
 
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return shard_rows(table(spark, sf_dir, "documents")).select(
-        "doc_id", (F.octet_length(raw).cast("long") + 16).alias("size"), F.crc32(raw).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard"
-    )
+    # measured first, so that the text itself is not shuffled
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(raw).cast("long") + 16).alias("size"), F.crc32(raw).alias("text_crc32"))
+    return shard_rows(docs, tie=F.col("text_crc32")).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
 def op3_byte_index_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,13 +30,13 @@ def shard_of(key: Column, weights: Sequence[float], seed: int = 29) -> Column:
     return F.array_min(F.array(*draws))["shard"]
 
 
-def shard_rows(docs: DataFrame, weights: Sequence[float] = (1.0,) * 40, grown_weight: float = 1.0, seed: int = 29) -> DataFrame:
+def shard_rows(docs: DataFrame, weights: Sequence[float] = (1.0,) * 40, grown_weight: float = 1.0, seed: int = 29, tie: Column | None = None) -> DataFrame:
     """``docs`` with shard, slot and grown_shard (where the row goes if a shard of ``grown_weight`` joins).
 
     doc_id and the shards decide alone: rows of one doc_id share a shard, null
     is a key like any other, the text plays no part.  Slots count a shard's
-    rows from 0 without gaps, in an order made from doc_id and the text's hash;
-    equal rows are interchangeable.  An empty table gives no rows.  Columns
+    rows from 0 without gaps, in an order made from doc_id and ``tie`` (by default the
+    CRC of the text); equal rows are interchangeable.  An empty table gives no rows.  Columns
     named like the three are replaced.
     """
     own = ["shard", "slot", "grown_shard"]
@@ -53,5 +53,5 @@ def shard_rows(docs: DataFrame, weights: Sequence[float] = (1.0,) * 40, grown_we
         .drop(draw)
         .withColumn(spot, F.pmod(F.xxhash64(F.lit(seed + 1), key), F.lit(BUCKETS)).cast("int"))
     )
-    ranked = distributed_rank(placed, ["shard"], [spot], [F.col("doc_id"), F.crc32(F.coalesce("text", F.lit("")).cast("binary"))], rank)
+    ranked = distributed_rank(placed, ["shard"], [spot], [F.col("doc_id"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")) if tie is None else tie], rank)
     return ranked.withColumn("slot", F.col(rank) - 1).select(*docs.columns, *own)
