@@ -93,17 +93,17 @@ class Analysis:
         s = self.spec
         texts = [F.col(f"`{t}`") for t in s.texts if t in self.records.columns]
         code, date = F.col(f"`{s.code}`"), F.col(f"`{s.date}`")
-        df = self.records.withColumns(
-            {
-                "_stkcd": stock_code(code),
-                "_year": year_of(date),
-                "_month": month_of(date),
-                "_date": date_text(date),
-                "_source_file": F.col(s.source_file) if s.source_file in self.records.columns else F.lit(""),
-                "_source_row": F.col(s.source_row).cast("long") if s.source_row in self.records.columns else F.lit(None).cast("long"),
-                "_text": joined_text(texts),
-            }
+        roles = F.struct(
+            stock_code(code).alias("_stkcd"),
+            year_of(date).alias("_year"),
+            month_of(date).alias("_month"),
+            date_text(date).alias("_date"),
+            (F.col(s.source_file) if s.source_file in self.records.columns else F.lit("")).alias("_source_file"),
+            (F.col(s.source_row).cast("long") if s.source_row in self.records.columns else F.lit(None).cast("long")).alias("_source_row"),
+            joined_text(texts).alias("_text"),
         )
+        # a generator, so that the roles are computed once and not again in every filter on them
+        df = self.records.select("*", F.inline(F.array(roles)))
         blank = strip(F.col("_stkcd")) == ""
         valid = ~blank & (F.col("_year") > 0)
         df = df.withColumns({"_m1": blank, "_m2": ~blank & (F.col("_year") == 0), "_valid": valid})

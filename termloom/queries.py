@@ -52,7 +52,7 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.date_add(F.lit("2020-01-01").cast("date"), (F.col("doc_id") * 37 % 1500).cast("int"))
     y, m, day = (f(d).cast("string") for f in (F.year, F.month, F.dayofmonth))
     k, c = F.col("doc_id") % 6, F.col("doc_id") % 7
-    return table(spark, sf_dir, "documents").select(
+    cells = F.struct(
         "doc_id",
         "source",
         F.when(c == 0, "").when(c == 1, F.concat(n, F.lit(".SZ"))).when(c == 2, F.concat(n, F.lit(".0"))).otherwise(n).alias("raw_code"),
@@ -60,6 +60,8 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 3, F.concat(y, F.lit("年"))).when(k == 4, F.datediff(d, F.lit("1899-12-30").cast("date")).cast("string")).otherwise("无法识别").alias("raw_date"),
         F.when(F.col("doc_id") % 11 == 0, "").otherwise(F.translate(F.lower("text"), ALPHABET, HAN)).alias("han_text"),
     )
+    # a generator, so that what reads a cell several times does not make it several times
+    return table(spark, sf_dir, "documents").select(F.inline(F.array(cells)))
 
 
 # The SQL of the same: records with code, year and month as the rules give them for these cells.
