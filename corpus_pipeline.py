@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from termloom.llm.decontam import drop_contaminated
+from termloom.llm.jaccard import drop_similar
 from termloom.llm.mixing import emit, mix_sources
 from termloom.llm.quality import fit, labelled_sample, score_quality
 from termloom.llm.sharding import shard_rows
-from termloom.llm.simhash import drop_near_duplicates
 from termloom.session import ship, stage, table
 
 QUALITY = 0.3
@@ -30,9 +30,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, on shingles of five words."""
+    """One document of each group of near copies: exact Jaccard of 0.8 or more on shingles of five words."""
     ship(spark)
-    return drop_near_duplicates(docs, words=5, bits=2)
+    return drop_similar(docs, words=5, similarity=0.8)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

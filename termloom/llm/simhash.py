@@ -174,18 +174,23 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame
     return rows.join(_classes(rows, bits), "fingerprint").select("doc_id", hexed, "component_id")
 
 
+def keep_first(docs: DataFrame, roots: DataFrame) -> DataFrame:
+    """``docs`` with one row of each root of ``roots(doc_id, h, root)``, h the xxhash64 of the text: the smallest doc_id (null last), then h."""
+    ident, key, none = free_name(docs, "__ident", "__key", "__none")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    marked = docs.withColumns({none: F.col("doc_id").isNull(), ident: F.coalesce("doc_id", F.lit(0)), key: F.xxhash64(text)})
+    first = roots.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h")).alias("r"))
+    chosen = stage(first.select(F.col("r.none").alias(none), F.col("r.id").alias(ident), F.col("r.h").alias(key)))
+    kept = marked.join(chosen, [none, ident, key], "left_semi").dropDuplicates([none, ident, key])
+    return kept.select(*docs.columns)
+
+
 def drop_near_duplicates(docs: DataFrame, words: int = 5, bits: int = 2) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id (null last), then of the smallest hash of its text.
 
     Of equal rows one stays. Null and empty texts are near-duplicates of each other.
     """
-    ident, key, none = free_name(docs, "__ident", "__key", "__none")
     text = F.coalesce(F.col("text"), F.lit(""))
-    marked = docs.withColumns({none: F.col("doc_id").isNull(), ident: F.coalesce("doc_id", F.lit(0)), key: F.xxhash64(text)})
-
     prints = fingerprints(docs.select(F.struct("doc_id", F.xxhash64(text).alias("h")).alias("doc_id"), "text"), words)
     rows = stage(prints.select("doc_id.doc_id", "doc_id.h", "fingerprint"))
-    first = rows.join(_classes(rows, bits), "fingerprint").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h")).alias("r"))
-    chosen = stage(first.select(F.col("r.none").alias(none), F.col("r.id").alias(ident), F.col("r.h").alias(key)))
-    kept = marked.join(chosen, [none, ident, key], "left_semi").dropDuplicates([none, ident, key])
-    return kept.select(*docs.columns)
+    return keep_first(docs, rows.join(_classes(rows, bits), "fingerprint").select("doc_id", "h", "root"))
