@@ -371,8 +371,7 @@ def fingerprint(spark, sf_dir):
 def corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     stem = F.concat(F.lpad((F.col("doc_id") % 50 + 1).cast("string"), 6, "0"), F.lit("_"), (F.col("doc_id") % 5 + 2018).cast("string"), F.lit("_"), F.col("doc_id").cast("string"))
     d = reports(spark, sf_dir).select(stem.alias("stem"), F.concat(F.lit(f"head\n{T.BODY_MARKER}\n"), "han_text").alias("text"))
-    parts = panel.report_sentences(d, max_len=UNCUT)
-    cut = parts.withColumn("sentences", F.filter("sentences", lambda s: F.length(s) < 200))
+    cut = panel.report_sentences(d)
     terms = tiered(spark, [(han(t), n, name) for t, n, name in TERMS])
     return cut, panel.term_hits(cut, terms), terms
 
@@ -389,14 +388,13 @@ cf as (select cs.*, terms.*, cast((length(lower(sentence)) - length(replace(lowe
 @query("A12_term_counts", f"with {SQL_CORPUS} select doc_id, term, cast(sum(n) as bigint) as n from cf where length(sentence) < 180 group by all")
 def term_counts(spark, sf_dir):
     _, found, _ = corpus(spark, sf_dir)
-    small = found.filter(F.length("sentence") < 180)
-    return small.groupBy(F.element_at(F.split("stem", "_"), 3).cast("long").alias("doc_id"), "term").agg(F.sum("n").alias("n"))
+    return found.groupBy(F.element_at(F.split("stem", "_"), 3).cast("long").alias("doc_id"), "term").agg(F.sum("n").alias("n"))
 
 
 @query("A14_hit_table", f"with {SQL_CORPUS} select distinct code, yr, term, tier_name, sentence from cf where length(sentence) < 180")
 def corpus_hit_table(spark, sf_dir):
     _, found, _ = corpus(spark, sf_dir)
-    return panel.hit_table(found.filter(F.length("sentence") < 180)).toDF("code", "yr", "term", "tier_name", "sentence")
+    return panel.hit_table(found).toDF("code", "yr", "term", "tier_name", "sentence")
 
 
 @query("A13_keyword_panel")
@@ -408,7 +406,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits with scores made from the sentence's length, so that no model is needed."""
     _, found, _ = corpus(spark, sf_dir)
     n = F.length("命中句子")
-    t = panel.hit_table(found.filter(F.length("sentence") < 180))
+    t = panel.hit_table(found)
     return t.withColumns({"LLM物理分数": n % 5, "LLM转型分数": n % 4, "LLM语气语调": n % 3, "LLM分析状态": F.when(n % 13 == 0, "失败").otherwise("成功")})
 
 
