@@ -449,10 +449,10 @@ RISK_SQL = """risk as (select o_orderkey, case when o_orderkey % 17 = 0 then nul
 
 
 def _risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").filter("c_custkey < 40")
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
     risk = o.select(
-        "o_orderkey", F.when(F.col("o_orderkey") % 17 != 0, (F.col("o_custkey") % 40).cast("string")).alias("stkcd"), (F.col("o_orderkey") % 7 + 1992).cast("string").alias("year"),
+        "o_orderkey", F.when(F.col("o_orderkey") % 17 != 0, F.col("o_custkey").cast("string")).alias("stkcd"), (F.col("o_orderkey") % 7 + 1992).cast("string").alias("year"),
         F.col("o_totalprice").alias("total_freq"), (F.col("o_totalprice") / 2).alias("physical_freq"), (F.col("o_totalprice") / 4).alias("transition_freq"), F.lit(0.0).alias("total_ratio"),
     )
     p = c.select(

@@ -42,3 +42,20 @@ def test_corpus_keeps_long_sentences(spark, tmp_path):
     assert max(len(r.sentence) for r in hits) == 200
     scored = sum(len(s) % 13 != 0 for s in {(r.code, r.yr, r.sentence): r.sentence for r in hits}.values())
     assert sum(r.hit_sent for r in Q.firm_year(spark, str(tmp_path)).collect()) == scored
+
+
+def test_ratios_join_all_customers(spark, tmp_path):
+    keys = [3, 39, 40, 41, 43, 52, 85, 1234567]
+    spark.createDataFrame([(k, f"c{k}") for k in keys], "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    orders = [(o, c, float(100 + o)) for o, c in enumerate([*keys, *keys, 80, 99] * 7, 1)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    want = []
+    for o, c, price in orders:
+        code, year = (None if o % 17 == 0 else c), o % 7
+        met = [k for k in keys if k % 7 == year and (None if k % 13 == 0 else k) == code]
+        for k in met or [None]:
+            n = None if k is None or k % 4 == 0 else float(k % 3 * 10)
+            want.append((o, "00<NA>" if code is None else str(code).zfill(6), k and f"c{k}", n, price / n if n else None))
+    got = [(r.o_orderkey, r.stkcd_key, r.c_name, r.n, r.total_ratio) for r in Q.ratio_table(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert {c for _, _, c, _, _ in got} > {"c40", "c41", "c1234567"}
