@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,22 +32,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one is set only if there is none."""
+    """The shared folder the cluster names; a local one is made only where there is none and the master is local."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         if not known:
-            import tempfile
-
+            if not re.match(r"local(\[|$)", sc.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             known = tempfile.mkdtemp(prefix="termloom-checkpoint-")
         sc.setCheckpointDir(known)
-    return known or sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and forget its lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -52,14 +49,20 @@ def stage(df: DataFrame) -> DataFrame:
 
     Cuts the lineage, survives lost executors, and leaves no partitioning behind
     that would keep Spark from splitting skewed keys of a later join.  The files
-    go when the application ends.
+    go with ``unstage``, or else when the application ends.
     """
-    import uuid
-
     spark = df.sparkSession
-    checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stage-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = jpath
+    return out
+
+
+def unstage(*staged: DataFrame) -> None:
+    """Delete the files of tables made by ``stage`` that nothing reads any more."""
+    for df in staged:
+        spark = df.sparkSession
+        df._staged.getFileSystem(spark._jsc.hadoopConfiguration()).delete(df._staged, True)
