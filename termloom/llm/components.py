@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.session import stage
+from termloom.session import stage, unstage
 
 
 def _mark(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31))).alias("h")).first()
+    row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()
     return row.n, row.h or 0
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Hang nodes on the least node next to them; ``edges`` go from a to a smaller b."""
+    """Hang nodes on the least node next to them; ``edges`` go from a to a smaller b and are deleted."""
     seen = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         seen = seen.unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -25,7 +25,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = both.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         out = both.select(F.col("v").alias("a"), F.col("m").alias("b")).unionAll(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return stage(out.filter("a > b").distinct())
+    out = stage(out.filter("a > b").distinct())
+    unstage(edges, least)
+    return out
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

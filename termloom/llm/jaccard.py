@@ -1,13 +1,17 @@
-"""Near copies by exact Jaccard similarity of word shingles, found without loss by prefix filtering.
-
-A text is the set of its shingles' hashes. All sets are put in one total order;
-two sets of similarity ``s`` or more then share an element among the first
-``n - ceil(s * n) + 1`` of each, so an index of these prefixes meets every such
-pair. The order is free: shingles that a sample shows to be common come last,
-which keeps lists short. Pairs with too few common shingles in their prefixes are
-ruled out, the others are verified by the size of the intersection.
-
-A group of n near copies would give n * n / 2 candidates. Each set is therefore
+"""Near copies by exact Jaccard similarity of word shingles: SimHash links first, then a prefix filter that loses none.
+
+A text is the set of its shingles' hashes.  Fingerprints at most two bits apart
+are found by the byte-position index of ``simhash`` and their sets compared
+exactly; that joins most groups of copies, but at a similarity of 0.8 two
+fingerprints of 64 bits differ in about ten, far too many for any index with
+useful lists.  The rest is found by prefix filtering: all sets are put in one
+total order; two sets of similarity ``s`` or more then share an element among
+the first ``n - ceil(s * n) + 1`` of each, so an index of these prefixes meets
+every such pair.  The order is free: shingles that a sample shows to be common
+come last, which keeps lists short.  Pairs with too few common shingles in their
+prefixes are ruled out, the others are verified by the size of the intersection.
+
+A group of n near copies would give n * n / 2 candidates.  Each set is therefore
 first compared with the one list head it meets most often; pairs that these
 links already join, and lists that hold one group only, need no comparison.
 """
@@ -24,30 +28,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm._common import chunks
+from termloom.llm._words import UNBLANK, Words, _power_tables, mix
 from termloom.llm.components import components
-from termloom.llm.simhash import SEED, keep_first
-from termloom.session import stage
+from termloom.llm.simhash import SENT, keep_first, links
+from termloom.session import stage, unstage
 
+SEED = 42
 #: Documents in which common shingles are looked for, and how many of these are kept.
 SAMPLE = 20_000
 COMMON = 1 << 17
+#: Bits that the fingerprints of the first links may differ in.
+BITS = 2
 
-#: Up to this many pairs the names of their sets are broadcast.
-SENT = 1 << 18
 
-
-def shingles(text: bytes, words: int = 5) -> np.ndarray:
-    """The distinct hashes of the text's word shingles, A-Z lower-cased, ascending; a shorter text is one shingle."""
-    parts = text.lower().split()
-    if not parts:
-        return np.zeros(0, dtype=np.uint64)
-    n = max(1, len(parts) - words + 1)
-    line = b" ".join(parts)
-    ends = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    last = ends[min(words, len(parts)) - 1 :]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(line[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist())], dtype=np.uint64))
+def shingle_sets(texts: list[bytes], words: int = 5) -> list[np.ndarray]:
+    """For each text the distinct hashes of its word shingles, A-Z lower-cased, ascending; a shorter text is one shingle."""
+    w = Words(texts, UNBLANK, lower=True)
+    n = len(w)
+    up, down = _power_tables(n + 1)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(w.hashes() * up[:n], dtype=np.uint64)])
+    out = []
+    for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
+        last = max(b - words, a) + 1 if b > a else a
+        size = min(words, b - a)
+        out.append(np.unique(mix((sums[a + size : last + size] - sums[a:last]) * down[a:last])))
+    return out
 
 
 def prefix(found: np.ndarray, common: np.ndarray, count: np.ndarray, s: Fraction) -> np.ndarray:
@@ -62,46 +67,66 @@ def prefix(found: np.ndarray, common: np.ndarray, count: np.ndarray, s: Fraction
     return found[np.argsort(rank, kind="stable")][: n - -(-s.numerator * n // s.denominator) + 1]
 
 
+def print_of(found: np.ndarray) -> int:
+    """The SimHash of a set: the bits set in over half of its hashes."""
+    if not len(found):
+        return 0
+    ones = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(found), 1 << 15):
+        ones += np.unpackbits(found[i : i + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return int(np.packbits(ones * 2 > len(found), bitorder="little").view("<i8")[0])
+
+
 def _lists(values: list[np.ndarray]) -> pa.Array:
     ends = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values).view(np.int64)))
 
 
-def _sets(docs: DataFrame, words: int, keep) -> DataFrame:
-    """``docs`` (any columns, text last, binary) with the set's name, size and the hashes ``keep`` takes of it, for text."""
-    *given, text = docs.columns
+def _names(found: list[np.ndarray]) -> list[pa.Array]:
+    """128 bits that name each set, as two longs."""
+    raw = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in found), dtype="<i8").reshape(-1, 2)
+    return [pa.array(np.ascontiguousarray(raw[:, i])) for i in (0, 1)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in chunks(batches, text):
-            found = [shingles(t, words) for t in texts]
-            made = [pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in found], pa.binary()), pa.array([len(x) for x in found], pa.int64()), _lists([keep(x) for x in found])]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(given))], *made], [*given, "set", "n", "g"])
 
-    head = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in given)
-    return docs.mapInArrow(run, f"{head}set binary, n long, g array<long>")
+def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles most documents of a sample share, ascending, and their counts. They order the prefixes; any choice gives the same result."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, part in chunks(batches, "text"):
+            g, c = np.unique(np.concatenate(shingle_sets(part, words)), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(c)], ["g", "c"])
 
-def _common(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles most documents of a sample share, ascending, and their counts."""
-    n = docs.count()
-    some = docs if n <= SAMPLE else docs.sample(SAMPLE / n, SEED)
-    seen = _sets(some.select("text"), words, lambda x: x).select(F.explode("g").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("c"))
+    n = texts.count()
+    some = texts if n <= SAMPLE else texts.sample(SAMPLE / n, SEED)
+    seen = some.mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
     rows = seen.filter("c > 1").orderBy(F.desc("c")).limit(COMMON).toPandas()
     g, c = rows["g"].to_numpy(np.int64).view(np.uint64), rows["c"].to_numpy(np.int64)
     order = np.argsort(g)
     return g[order], c[order]
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, s: Fraction) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose sets have a similarity of ``s`` or more."""
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, s: Fraction) -> DataFrame:
+    """Those of ``pairs(a, b)`` of set numbers whose sets have a similarity of ``s`` or more."""
     pairs = stage(pairs)
-    need = pairs.select(F.col("a").alias("set")).unionAll(pairs.select(F.col("b").alias("set"))).distinct()
-    # names are small: sent to all tasks, they keep the hashes of texts that nothing meets from being shuffled
-    need = F.broadcast(need) if pairs.count() <= SENT else need
-    full = stage(_sets(texts, words, lambda x: x).join(need, "set", "left_semi").dropDuplicates(["set"]))
-    a, b = (full.select(F.col("set").alias(k), F.col("n").alias(f"n{k}"), F.col("g").alias(f"g{k}")) for k in "ab")
+    need = pairs.select(F.col("a").alias("sid")).unionAll(pairs.select(F.col("b").alias("sid"))).distinct()
+    need = stage(sets.join(need, "sid", "left_semi").select("sid", "s1", "s2", "h"))
+    # keys are small: sent to all tasks, they keep texts that nothing meets from being shuffled
+    small = need.count() <= SENT
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in chunks(batches, "text"):
+            found = shingle_sets(texts, words)
+            yield pa.RecordBatch.from_arrays([*_names(found), _lists(found)], ["s1", "s2", "g"])
+
+    known = need.select("h").distinct()
+    wanted = docs.join(F.broadcast(known) if small else known, "h", "left_semi").select("text")
+    full = wanted.mapInArrow(run, "s1 long, s2 long, g array<long>").join(F.broadcast(need) if small else need, ["s1", "s2"]).dropDuplicates(["sid"])
+    full = stage(full.select("sid", "g"))
+    a, b = (full.select(F.col("sid").alias(k), F.col("g").alias(f"g{k}")) for k in "ab")
     met = F.size(F.array_intersect("ga", "gb")) * F.lit(s.numerator + s.denominator)
-    return stage(pairs.join(a, "a").join(b, "b").filter(met >= (F.col("na") + F.col("nb")) * s.numerator).select("a", "b"))
+    out = stage(pairs.join(a, "a").join(b, "b").filter(met >= (F.size("ga") + F.size("gb")) * s.numerator).select("a", "b"))
+    unstage(pairs, need, full)
+    return out
 
 
 def _enough(c: str, x: str, y: str, s: Fraction) -> Column:
@@ -115,37 +140,64 @@ def _enough(c: str, x: str, y: str, s: Fraction) -> Column:
     return (low * q >= high * p) & ((F.col(c) + F.ceil(high * p / q) - 1) * (p + q) >= (low + high) * p)
 
 
-def similar(sets: DataFrame, texts: DataFrame, words: int, s: Fraction) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs of the staged ``sets(set, n, g)`` of similarity ``s`` or more; g is the prefix."""
-    posts = sets.select("set", "n", F.explode("g").alias("g"))
-    heads = posts.groupBy("g").agg(F.min(F.struct("set", "n")).alias("head"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("g", "head")
+def similar(sets: DataFrame, docs: DataFrame, words: int, s: Fraction) -> DataFrame:
+    """Links (a, b) whose components are those of all pairs of the staged ``sets(sid, s1, s2, h, n, f, g)`` of similarity ``s`` or more.
+
+    f is a set's fingerprint, g its prefix; ``docs(h, text)`` has a text of every set.
+    """
+    # fingerprints: sets of one print hang on its first set, near prints are joined by their first sets
+    prints = stage(sets.groupBy(F.col("f").alias("fingerprint")).agg(F.min("sid").alias("head")))
+    same = sets.select("sid", F.col("f").alias("fingerprint")).join(prints, "fingerprint").filter("sid <> head").select(F.col("sid").alias("a"), F.col("head").alias("b"))
+    x, y = (prints.select(F.col("fingerprint").alias(k), F.col("head").alias(f"head_{k}")) for k in "xy")
+    close = links(prints.select("fingerprint"), BITS).distinct().toDF("x", "y").join(x, "x").join(y, "y").select(F.col("head_x").alias("a"), F.col("head_y").alias("b"))
+    # prefixes: lists of several sets
+    posts = sets.select("sid", F.col("n").cast("int").alias("n"), F.explode("g").alias("g"))
+    heads = posts.groupBy("g").agg(F.min("sid").alias("head"), F.max("sid").alias("last")).filter("head <> last").select("g", "head")
     posts = stage(posts.join(heads, "g"))
-    tally = posts.filter("set <> head.set").groupBy("set", "n", F.col("head.set").alias("b"), F.col("head.n").alias("m")).agg(F.count(F.lit(1)).alias("c"))
-    first = _verified(tally.filter(_enough("c", "n", "m", s)).groupBy(F.col("set").alias("a")).agg(F.max_by("b", F.struct("c", "b")).alias("b")), texts, words, s)
-    group = stage(components(first)).withColumnsRenamed({"node": "set"})
-    named = posts.drop("head").join(group, "set", "left").withColumn("root", F.coalesce("root", "set"))
+    m = sets.select(F.col("sid").alias("head"), F.col("n").cast("int").alias("m"))
+    tally = posts.filter("sid <> head").groupBy("sid", "n", "head").agg(F.count(F.lit(1)).alias("c")).join(m, "head")
+    most = tally.filter(_enough("c", "n", "m", s)).groupBy(F.col("sid").alias("a")).agg(F.max(F.struct("c", "head")).alias("b")).select("a", "b.head")
+    first = _verified(same.unionAll(close).unionAll(most).distinct(), sets, docs, words, s)
+    group = stage(components(first)).withColumnsRenamed({"node": "sid"})
+    named = posts.drop("head").join(group, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     mixed = named.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("g")
     left = stage(named.join(mixed, "g"))
-    a, b = (left.select("g", *[F.col(c).alias(f"{c}_{k}") for c in ("set", "n", "root")]) for k in "ab")
+    unstage(prints, posts)
+    a, b = (left.select("g", *[F.col(c).alias(f"{c}_{k}") for c in ("sid", "n", "root")]) for k in "ab")
     p, q = s.numerator, s.denominator
-    fits = (F.col("set_a") < F.col("set_b")) & (F.col("root_a") != F.col("root_b")) & (F.least("n_a", "n_b") * q >= F.greatest("n_a", "n_b") * p)
-    met = a.join(b, "g").filter(fits).groupBy("set_a", "set_b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("c"))
-    more = met.filter(_enough("c", "n_a", "n_b", s)).select(F.col("set_a").alias("a"), F.col("set_b").alias("b"))
-    return first.unionAll(_verified(more, texts, words, s))
+    fits = (F.col("sid_a") < F.col("sid_b")) & (F.col("root_a") != F.col("root_b")) & (F.least("n_a", "n_b") * q >= F.greatest("n_a", "n_b") * p)
+    met = a.join(b, "g").filter(fits).groupBy("sid_a", "sid_b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("c"))
+    more = met.filter(_enough("c", "n_a", "n_b", s)).select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"))
+    found = stage(first.unionAll(_verified(more, sets, docs, words, s)))
+    unstage(left, first)
+    return found
 
 
 def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each component of texts whose sets of word shingles have a Jaccard similarity of ``similarity`` or more.
 
-    Which row stays is as in ``drop_near_duplicates``; null and empty texts are equal.
+    Which row stays is as in ``drop_near_duplicates``; null and empty texts are
+    equal; of rows with one doc_id and text one stays; ties go by a hash of the
+    text. Whole texts of any length count; an empty table stays empty; other
+    columns, whatever their names, are kept as they are.
     """
     s = Fraction(str(similarity))
     text = F.coalesce(F.col("text"), F.lit(""))
-    texts = docs.select(text.cast("binary").alias("text"))
-    common, count = _common(texts, words)
     keyed = docs.select("doc_id", F.xxhash64(text).alias("h"), text.cast("binary").alias("text"))
-    rows = stage(_sets(keyed, words, lambda x: prefix(x, common, count, s)))
-    sets = stage(rows.groupBy("set").agg(F.first("n").alias("n"), F.first("g").alias("g")))
-    linked = stage(components(similar(sets, texts, words, s)))
-    roots = rows.join(linked, rows["set"] == linked["node"], "left").select("doc_id", "h", F.coalesce("root", "set").alias("root"))
+    common, count = _common(keyed.select("text"), words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in chunks(batches, "text"):
+            found = shingle_sets(texts, words)
+            made = [*_names(found), pa.array([len(x) for x in found], pa.int64()), pa.array([print_of(x) for x in found], pa.int64()), _lists([prefix(x, common, count, s) for x in found])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["doc_id", "h", "s1", "s2", "n", "f", "g"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = stage(keyed.mapInArrow(run, f"doc_id {kind}, h long, s1 long, s2 long, n long, f long, g array<long>"))
+    # one row a set, numbered; the numbers hold since the table is written
+    sets = stage(rows.groupBy("s1", "s2").agg(F.first(F.struct("h", "n", "f", "g")).alias("x")).select(F.monotonically_increasing_id().alias("sid"), "s1", "s2", "x.*"))
+    linked = stage(components(similar(sets, keyed.select("h", "text"), words, s)))
+    named = rows.select("doc_id", "h", "s1", "s2").join(sets.select("sid", "s1", "s2"), ["s1", "s2"])
+    roots = stage(named.join(linked, named["sid"] == linked["node"], "left").select("doc_id", "h", F.coalesce("root", "sid").alias("root")))
+    unstage(rows, sets, linked)
     return keep_first(docs, roots)

@@ -3,7 +3,8 @@ import random
 import numpy as np
 import xxhash
 
-from termloom.llm.simhash import components, drop_near_duplicates, fingerprint, link_list, links, near_duplicates
+from termloom.llm.components import components
+from termloom.llm.simhash import drop_near_duplicates, fingerprint, link_list, links, list_masks, near, near_duplicates, shared_bytes
 
 
 def brute(values, bits):
@@ -50,14 +51,29 @@ def test_components_of_clusters(spark):
 
 def test_long_lists_agree_with_short_ones():
     rng = np.random.default_rng(1)
-    members = np.unique(rng.integers(0, 1 << 16, 3000).astype(np.uint64))
-    root = link_list(members, 0xFFFF, 2)
-    small = members[:600]
-    want = brute([int(x) for x in small], 2)
-    got = link_list(small, 0xFFFF, 2)
-    assert len(set(got.tolist())) == len(set(want.values()))
-    near = [(a, b) for a in range(0, len(members), 97) for b in range(len(members)) if bin(int(members[a] ^ members[b])).count("1") <= 2]
-    assert all(root[a] == root[b] for a, b in near)
+    for bits in (0, 1, 2, 3):
+        for spread in (0xFF, 0xFFFF, 0xFF00FF, 0x1F1F1F1F):
+            members = np.unique(rng.integers(0, 1 << 32, 500).astype(np.uint64) & np.uint64(spread))
+            want = brute([int(x) for x in members], bits)
+            for most in (1 << 20, 40, 1):
+                root = link_list(members, bits, most).tolist()
+                mine = dict(zip(members.tolist(), root))
+                assert {(want[a] == want[b]) == (mine[a] == mine[b]) for a in want for b in list(want)[::7]} == {True}, (bits, spread, most)
+
+
+def test_tally_reaches_the_minimum():
+    rng = random.Random(9)
+    for _ in range(500):
+        x = rng.getrandbits(64)
+        y = x
+        for _ in range(rng.randint(0, 5)):
+            y ^= 1 << rng.randrange(64)
+        a, b = np.array([x], np.uint64), np.array([y], np.uint64)
+        assert shared_bytes(a, b)[0] == sum(x >> s & 255 == y >> s & 255 for s in range(0, 64, 8))
+        for bits in range(7):
+            close = bin(x ^ y).count("1") <= bits
+            assert near(a, b, bits)[0] == close
+            assert not close or any(x & m == y & m for m in list_masks(bits))
 
 
 def test_fingerprint_by_hand():
@@ -68,6 +84,25 @@ def test_fingerprint_by_hand():
         assert fingerprint(text) == sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
 
 
+def test_texts_by_brute_force(spark):
+    rng = random.Random(12)
+    word = [f"w{i}" for i in range(40)]
+    rows = [(0, None), (1, ""), (2, "one two"), (3, "One  two")]
+    for k in range(25):
+        base = [rng.choice(word) for _ in range(rng.randint(3, 400))]
+        rows += [(10 * k + 10 + j, " ".join([*base[: rng.randint(len(base) // 2, len(base))], *([rng.choice(word)] if j else [])])) for j in range(4)]
+        rows.append((10 * k + 15, " ".join([*base, rng.choice(word)])))
+    rows.append((999, "long " * 200_000))
+    prints = {i: fingerprint((t or "").encode()) for i, t in rows}
+    want = {}
+    group = brute(sorted(set(prints.values())), 2)
+    for i, p in prints.items():
+        want[i] = min(j for j, q in prints.items() if group[q] == group[p])
+    assert len(set(want.values())) < len(rows) - 3
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (f"{prints[i]:016x}", want[i]) for i, _ in rows}
+
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, `TEXT_` string, __key int"
 
 
