@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from termloom.llm.html_extract import blocks, extract, extract_pages, minimum_cut
+from termloom.llm.html_extract import blocks, extract, extract_pages, graph, minimum_cut
 from termloom.llm.quality import fit, labelled_sample, score_quality
 from termloom.llm.secret_scan import NEXT, Guesser, _alphabet, corpus_words, date_parts, scan, scan_secrets
 from termloom.llm.tokens import PrefixCounter, count_tokens, truncate_to_budget
@@ -179,7 +179,52 @@ has</b> more words and ends well.</p><form>Email <input></form><section id="comm
 def test_pages(spark):
     assert extract(PAGE) == "Big title\n\nFirst para with some words, really it has. <b> ok next\n\nSecond para has more words and ends well."
     assert extract("") == "" and extract("<nav>a</nav>") == "" and extract("<p unclosed='") in ("", "<p unclosed='")
-    assert len(blocks("<div>" * 3000 + "deep words here." + "</div>" * 3000)) == 1
+    assert len(blocks("<div>" * 3000 + "deep words here." + "</div>" * 3000)[0]) == 1
     df = spark.createDataFrame([(1, "u", PAGE, "t"), (None, None, None, "t")], "page_id long, url string, html string, text string")
     got = {r.page_id: r.text for r in extract_pages(df).collect()}
     assert got[1].startswith("Big title") and got[None] == "" and extract_pages(df.limit(0)).count() == 0
+
+
+def made_page(rng):
+    """A page and the blocks of its main text."""
+    word = lambda: rng.choice(["river", "stone", "light", "under", "the", "of", "walked", "seven"])
+    line = lambda a, b: (" ".join(word() for _ in range(rng.randint(a, b))) + ".").capitalize()
+    main = [line(2, 6)] + [line(3, 60) for _ in range(rng.randint(2, 12))]
+    bad = lambda: rng.choice(
+        [f"<div class='ad-slot'><p>{line(2, 50)}</p></div>", f"<aside><h2>{line(1, 3)}</h2><p>{line(5, 30)}</p></aside>", f"<form>{line(2, 9)}<input></form>", f"<div class=newsletter>{line(4, 25)}</div>", ""]
+    )
+    body = f"<h1>{main[0]}</h1>" + "".join(f"<p>{x}</p>{bad()}" for x in main[1:])
+    comments = f"<section id=comments><h3>Comments</h3>{''.join(f'<p>{line(10, 60)}</p>' for _ in range(rng.randint(0, 4)))}</section>"
+    wrap = rng.choice(["<article>{}</article>", "<main><div>{}</div></main>", "<div class='post-body'>{}</div>", "<div id=content role=main><div>{}</div></div>"])
+    nav = "<nav><ul>" + "".join(f"<li><a href=/>{word()}</a></li>" for _ in range(6)) + "</ul></nav>"
+    page = f"<html><body>{rng.choice(['', '<header><p>' + line(2, 20) + '</p></header>'])}{nav}<div class='cookie-notice'><p>{line(5, 40)}</p></div>{wrap.format(body + rng.choice(['', comments]))}{bad()}<footer>{line(3, 20)}</footer></body></html>"
+    return page, main
+
+
+def test_the_cut_decides():
+    rng = random.Random(8)
+    total = changed = hit = found_n = want_n = 0
+    for _ in range(200):
+        page, main = made_page(rng)
+        found, said = blocks(page)
+        keep = minimum_cut(*graph(found, said))
+        total += len(found)
+        changed += sum((b.cost > 0) != k for b, k in zip(found, keep))
+        got = [b.text for b, k in zip(found, keep) if k]
+        hit += len(set(got) & set(main))
+        found_n, want_n = found_n + len(set(got)), want_n + len(set(main))
+    assert changed / total > 0.1
+    assert 2 * hit / (found_n + want_n) > 0.97
+
+
+def test_dropped_elements_without_an_end():
+    assert extract("<article><p>One here is.</p><svg width=1 /><p>Two here is.</p></article>") == "One here is.\n\nTwo here is."
+    assert extract("<article><div><p>One here is.</p><button>Buy</div><p>Two here is.</p><p>Three <video>no</p><p>Four is it.</p></article>") == "One here is.\n\nTwo here is.\n\nThree\n\nFour is it."
+    assert extract("<article><p>One <svg><g><title>x</title></g><text>no</text></svg>here is.</p><select><option>a<option>b</select><p>Two here is.</p></article>") == "One here is.\n\nTwo here is."
+
+
+def test_long_page():
+    page = "<article>" + "".join(f"<p>word number {i} is here.</p><div class=ad><p>buy {i}</p></div>" for i in range(20_000)) + "</article>"
+    began = time.perf_counter()
+    assert extract(page).count("\n\n") == 19_999
+    assert time.perf_counter() - began < 60
