@@ -5,16 +5,20 @@
    one place only cannot belong to a repeated window and are dropped, by an
    aggregate and a join.
 2. The passages around the other anchors, one for each run of windows with the
-   same anchor, are cut out once for each text and gathered by their hash, so
-   that a passage of very many documents is one row with its first occurrence;
-   its other occurrences are removed.
+   same anchor, are cut out once for each text.  Equal passages are gathered as
+   one row with their first occurrence, so that a passage of very many documents
+   is one entry of an index.
 3. The distinct passages are dealt over shards by anchor.  Each shard builds an
-   FM-index of them and streams them through it; the intervals of whole windows
-   tell which of them start earlier elsewhere.
-4. The intervals found are gathered by text and applied.
-
-Anchors with very many occurrences are cut into single windows in step 2, where
-gathering alone decides; none can make a shard large.
+   FM-index of them and streams them through it.  Backward search gives the
+   matching statistics: for every place where a whole window is matched, the
+   interval of its occurrences and so the first of them.  A passage's first
+   occurrence loses the windows that start earlier in another passage, its other
+   occurrences all windows that the search has found.
+4. The intervals are gathered by text and applied.
+
+No window goes that the index has not found; only whole copies of a text go
+without it.  An anchor with very many occurrences is salted: its passages are cut
+into single windows, which are dealt over the shards by their own hash.
 """
 
 from __future__ import annotations
@@ -24,17 +28,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm._common import chunks
+from termloom.llm._common import CHUNK_BYTES, chunks
 from termloom.llm._words import UNBLANK, Words, _power_tables, mix
 from termloom.llm.fm_index import window_matches
-from termloom.session import stage
+from termloom.session import stage, unstage
 
 #: Words of an anchor.
 GRAM = 5
-#: Occurrences from which an anchor's windows are gathered one by one.
+#: Occurrences from which an anchor's windows are dealt one by one; the result is the same for any number.
 HOT = 512
 #: Words of the passages that one FM-index holds, about.
 SHARD_WORDS = 400_000
@@ -89,18 +94,35 @@ def _anchors(window: int):
     return run
 
 
-PASSAGE = "sid binary, anchor long, hot boolean, none boolean, id long, th long, th2 long, first int, windows int, passage binary"
-
+PASSAGE = "anchor long, sid long, hot boolean, none boolean, id long, th long, th2 long, starts array<int>, windows int, passage binary"
 
-def _passages(window: int):
-    """Rows of PASSAGE for one row of every text.
 
-    A passage that stands in its text before is removed there for sure: such
-    stretches are joined and come as rows without sid and passage.
-    """
+def _packed(rows: DataFrame) -> DataFrame:
+    """``rows(..., text)`` with the text compressed for a shuffle, as ``packed``."""
+    *given, _ = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3).compress
         for batch, texts in chunks(batches, "text"):
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(given))], pa.array([press(t) for t in texts], pa.binary())], [*given, "packed"])
+
+    head = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in given)
+    return rows.mapInArrow(run, f"{head}packed binary")
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of a bounded size, with the texts of their column ``packed``."""
+    full = zstandard.ZstdDecompressor().decompress
+    for batch, parts in chunks(batches, "packed", CHUNK_BYTES // 4):
+        yield batch, [full(x) for x in parts]
+
+
+def _passages(window: int):
+    """Rows of PASSAGE, one for each text and distinct passage in it, with all places where it starts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
+        for batch, texts in _unpacked(batches):
             text, anchor, _, first, count = runs(texts, window)
             bounds = np.searchsorted(text, np.arange(len(texts) + 1))
             none, ids, th, th2, places = (batch.column(i).to_pylist() for i in range(1, 6))
@@ -109,8 +131,7 @@ def _passages(window: int):
             for t, raw in enumerate(texts):
                 known = {x["anchor"]: x["hot"] for x in places[t]}
                 words = raw.split()
-                seen: set[bytes] = set()
-                gone: list[list[int]] = []
+                seen: dict[bytes, list[int]] = {}
                 own = (none[t], ids[t], th[t], th2[t])
                 for r in range(bounds[t], bounds[t + 1]):
                     name = int(anchor[r])
@@ -120,28 +141,26 @@ def _passages(window: int):
                     a, k = int(first[r]), int(count[r])
                     for s, m in [(a + j, 1) for j in range(k)] if hot else [(a, k)]:
                         passage = b" ".join(words[s : s + m + window - 1])
-                        if passage not in seen:
-                            seen.add(passage)
-                            out.append((xxhash.xxh3_128_digest(passage), name, hot, *own, s, m, passage))
-                        elif gone and s <= gone[-1][1]:
-                            gone[-1][1] = s + m + window - 1
-                        else:
-                            gone.append([s, s + m + window - 1])
-                out += [(None, 0, False, *own, s, e - s - window + 1, None) for s, e in gone]
+                        starts = seen.get(passage)
+                        if starts is None:
+                            starts = seen[passage] = []
+                            out.append((name, digest(passage) - (1 << 63), hot, *own, starts, m, passage))
+                        starts.append(s)
             cols = list(zip(*out)) if out else [[]] * 10
-            kinds = [pa.binary(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["sid", "anchor", "hot", "none", "id", "th", "th2", "first", "windows", "passage"])
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["anchor", "sid", "hot", "none", "id", "th", "th2", "starts", "windows", "passage"])
 
     return run
 
 
-def earlier_windows(rows: list[tuple[bool, int, int, int, int, int, bytes]], window: int) -> list[list[int]]:
-    """For (none, id, th, th2, first, windows, passage) rows: the offsets of windows that start earlier in another row."""
+def earlier_windows(rows: list[tuple[bool, int, int, int, int, bytes]], window: int) -> tuple[list[list[int]], list[int]]:
+    """For (none, id, th, th2, first, passage) rows: the offsets of windows that start earlier in another row, and the number of windows found."""
     number: dict[bytes, int] = {}
-    passages = [[number.setdefault(x, len(number) + 1) for x in r[6].split(b" ")] for r in rows]
+    passages = [[number.setdefault(x, len(number) + 1) for x in r[5].split(b" ")] for r in rows]
     order = {k: i for i, k in enumerate(sorted({r[:4] for r in rows}))}
     base = np.array([order[r[:4]] << 31 | r[4] for r in rows])
     out: list[list[int]] = [[] for _ in rows]
+    matched = np.zeros(len(rows), np.int64)
     found = window_matches(passages, len(number) + 1, window)
     index, starts = next(found)
     # when each index row's suffix stands in its text, and the first such time of every group of equal windows
@@ -151,33 +170,49 @@ def earlier_windows(rows: list[tuple[bool, int, int, int, int, int, bytes]], win
     heads = np.flatnonzero(group == np.arange(len(group)))
     earliest = np.repeat(np.minimum.reduceat(time, heads), np.diff(np.concatenate([heads, [len(group)]])))
     for lane, place, row in found:
+        matched[lane] += 1
         late = earliest[row] < base[lane] + place
         for i, p in zip(lane[late].tolist(), place[late].tolist()):
             out[i].append(p)
-    return out
+    return out, matched.tolist()
+
+
+VERDICT = "anchor long, sid long, none boolean, id long, th long, th2 long, first int, windows int, other boolean, s int, e int"
 
 
 def _search(window: int):
-    names = ["none", "id", "th", "th2", "first", "windows", "passage"]
+    """Rows of VERDICT: spans [s, e) that a passage's first occurrence loses, and, as ``other``, passages whose other occurrences go."""
+    names = ["anchor", "sid", "none", "id", "th", "th2", "first", "windows", "repeated"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        anchors: list[int] = []
-        words = 0
+        last, words = None, 0
 
         def out(rows):
-            found = [(r[2], r[3], r[4] + p, r[4] + p + window) for r, offsets in zip(rows, earlier_windows(rows, window)) for p in offsets] if len(rows) > 1 else []
-            cols = list(zip(*found)) if found else [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["th", "th2", "s", "e"])
+            found = []
+            offsets, matched = earlier_windows([(*r[2:7], r[9]) for r in rows], window)
+            for r, own, n in zip(rows, offsets, matched):
+                spans: list[list[int]] = []
+                for p in sorted(own):
+                    if spans and p <= spans[-1][1] - window + 1:
+                        spans[-1][1] = p + window
+                    else:
+                        spans.append([p, p + window])
+                found += [(*r[:8], False, r[6] + s, r[6] + e) for s, e in spans]
+                if r[8] and n == r[7]:
+                    found.append((*r[:8], True, None, None))
+            cols = list(zip(*found)) if found else [[]] * 11
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [*names[:8], "other", "s", "e"])
 
         for b in batches:
-            for anchor, row in zip(b.column(0).to_pylist(), zip(*(b.column(b.schema.get_field_index(n)).to_pylist() for n in names))):
-                if words > SHARD_WORDS and anchor != anchors[-1]:
+            for key, row in zip(b.column(0).to_pylist(), zip(*(b.column(b.schema.get_field_index(n)).to_pylist() for n in [*names, "passage"]))):
+                if words > SHARD_WORDS and key != last:
                     yield out(held)
-                    held, anchors, words = [], [], 0
+                    held, words = [], 0
                 held.append(row)
-                anchors.append(anchor)
-                words += row[5] + window
+                last = key
+                words += row[7] + window
         if held:
             yield out(held)
 
@@ -186,7 +221,7 @@ def _search(window: int):
 
 def _apply(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in chunks(batches, "text"):
+        for batch, texts in _unpacked(batches):
             copy, spans = (batch.column(i).to_pylist() for i in (1, 2))
             n_words, n_removed, sums = [], [], []
             for raw, is_copy, own in zip(texts, copy, spans):
@@ -215,39 +250,43 @@ def drop_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     A word goes if a window of ``window`` words over it also starts earlier: in
     a smaller doc_id, or earlier in the same text. Null doc_ids come last; texts
     of the same doc_id go by a hash of the text; rows with the same doc_id and
-    text are one document and get one result. Null texts have no words. An empty
-    table gives no rows; other columns are not read.
+    text are one document and get one result. Null and empty texts have no words;
+    whole texts of any length count. An empty table gives no rows; other columns,
+    whatever their names, are not read.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = docs.select(docs["doc_id"].alias("doc_id"), text.alias("text")).withColumns({"th": F.xxhash64("text"), "th2": F.xxhash64(F.lit(1), "text")})
+    rows = docs.select(docs["doc_id"].alias("doc_id"), text.alias("text")).select("doc_id", F.xxhash64("text").alias("th"), F.xxhash64(F.lit(1), "text").alias("th2"), "text")
     ident = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"))
 
     # 1. anchors that are found at more than one place; copies of a text are the same place
     spots = rows.select("text", "th").mapInArrow(_anchors(window), "anchor long, th long, place int, n int")
     spot = F.xxhash64("th", "place")
-    twice = spots.groupBy("anchor").agg(F.min(spot).alias("a"), F.max(spot).alias("b"), F.sum("n").alias("n")).filter("a <> b").select("anchor", (F.col("n") >= HOT).alias("hot"))
-    places = spots.filter("n > 0").select("anchor", "th").join(stage(twice), "anchor").groupBy("th").agg(F.collect_set(F.struct("anchor", "hot")).alias("places"))
+    twice = stage(spots.groupBy("anchor").agg(F.min(spot).alias("a"), F.max(spot).alias("b"), F.sum("n").alias("n")).filter("a <> b").select("anchor", (F.col("n") >= HOT).alias("hot")))
+    places = stage(spots.filter("n > 0").select("anchor", "th").join(twice, "anchor").groupBy("th").agg(F.collect_set(F.struct("anchor", "hot")).alias("places")))
     reps = rows.groupBy("th", "th2").agg(F.min(ident).alias("rep"))
-    texts = stage(reps.join(stage(places), "th", "left").select("th", "th2", "rep", "places"))
-
-    # 2. their passages, each with its first occurrence
-    wanted = texts.filter(F.col("places").isNotNull())
-    own = rows.join(wanted, ["th", "th2"]).filter(ident == F.col("rep"))
-    passages = stage(own.select("text", F.col("rep.none").alias("none"), F.col("rep.id").alias("id"), "th", "th2", "places").mapInArrow(_passages(window), PASSAGE))
-    place = F.struct("none", "id", "th", "th2", "first")
-    firsts = stage(passages.filter("sid is not null").groupBy("sid").agg(F.min(place).alias("earliest")))
-    known = passages.join(firsts, "sid")
-    here = passages.filter("sid is null").select("th", "th2", F.col("first").alias("s"), (F.col("first") + F.col("windows") + (window - 1)).alias("e"))
-    later = known.filter(place != F.col("earliest")).select("th", "th2", F.col("first").alias("s"), (F.col("first") + F.col("windows") + (window - 1)).alias("e"))
-
-    # 3. windows of the distinct passages that start earlier in another one
-    distinct = known.filter((place == F.col("earliest")) & ~F.col("hot")).select("anchor", "none", "id", "th", "th2", "first", "windows", "passage")
-    shards = distinct.repartition(F.col("anchor")).sortWithinPartitions("anchor")
-    earlier = shards.mapInArrow(_search(window), "th long, th2 long, s int, e int")
+    texts = stage(reps.join(places, "th", "left").select("th", "th2", "rep", "places"))
+    unstage(twice, places)
+
+    # 2. their passages, and the distinct ones with their first occurrence
+    own = _packed(rows).join(texts.filter(F.col("places").isNotNull()), ["th", "th2"]).filter(ident == F.col("rep"))
+    passages = stage(own.select("packed", F.col("rep.none").alias("none"), F.col("rep.id").alias("id"), "th", "th2", "places").mapInArrow(_passages(window), PASSAGE))
+    place = F.struct("none", "id", "th", "th2", F.get("starts", 0).alias("first"))
+    repeated = (F.count(F.lit(1)) > 1) | (F.max(F.size("starts")) > 1)
+    gathered = passages.groupBy("anchor", "sid").agg(F.min(place).alias("at"), repeated.alias("repeated"), F.first(F.struct("hot", "windows", "passage")).alias("x"))
+    distinct = gathered.select(F.when(F.col("x.hot"), F.col("sid")).otherwise(F.col("anchor")).alias("key"), "anchor", "sid", "at.*", "x.windows", "repeated", "x.hot", "x.passage").filter("repeated or not hot")
+
+    # 3. what the indexes find
+    shards = distinct.repartition(F.col("key")).sortWithinPartitions("key", "anchor", "sid")
+    verdicts = stage(shards.drop("hot").mapInArrow(_search(window), VERDICT))
+    earlier = verdicts.filter("not other").select("th", "th2", "s", "e")
+    others = verdicts.filter("other").select("anchor", "sid", F.struct("none", "id", "th", "th2", "first").alias("at"))
+    start = passages.select("anchor", "sid", "none", "id", "th", "th2", "windows", "starts").join(others, ["anchor", "sid"]).withColumn("first", F.explode("starts"))
+    later = start.filter(F.struct("none", "id", "th", "th2", "first") != F.col("at")).select("th", "th2", F.col("first").alias("s"), (F.col("first") + F.col("windows") + (window - 1)).alias("e"))
 
     # 4. what goes, by text
-    spans = here.unionAll(later).unionAll(earlier).groupBy("th", "th2").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    spans = later.unionAll(earlier).groupBy("th", "th2").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
     found = stage(texts.select("th", "th2", "rep").join(spans, ["th", "th2"], "left"))
-    joined = rows.join(found, ["th", "th2"]).select("doc_id", (ident != F.col("rep")).alias("copy"), "spans", "text")
+    unstage(texts, passages, verdicts)
+    joined = _packed(rows).join(found, ["th", "th2"]).select("doc_id", (ident != F.col("rep")).alias("copy"), "spans", "packed")
     return joined.mapInArrow(_apply(window), f"doc_id {kind}, n_words long, n_removed long, kept binary")

@@ -1,7 +1,8 @@
 import random
 
-from pyspark.sql import functions as F
+import pytest
 
+from termloom.llm import substring
 from termloom.llm.substring import drop_repeats
 
 
@@ -29,9 +30,9 @@ def run(spark, docs, size):
     return sorted(((r.doc_id, r.n_words, r.n_removed, bytes(r.kept)) for r in drop_repeats(df, size).collect()), key=str)
 
 
-def test_against_brute_force(spark, monkeypatch):
-    from termloom.llm import substring
-
+@pytest.mark.parametrize("hot", [2, 512])
+def test_against_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(substring, "HOT", hot)
     rng = random.Random(2)
     words = ["a", "b", "the", "é", "Of.", "zz"] + [f"w{i}" for i in range(60)]
     text = lambda n, k=66: " ".join(rng.choice(words[:k]) for _ in range(n))
@@ -54,3 +55,20 @@ def test_hot_anchors(spark):
     hot = " ".join(f"h{i}" for i in range(40))
     docs = [(d, " ".join(f"u{rng.randint(0, 30)}" for _ in range(15)) + f" {hot} " + " ".join(f"v{rng.randint(0, 30)}" for _ in range(15))) for d in range(700)]
     assert run(spark, docs, 20) == brute(docs, 20)
+
+
+def test_the_index_decides(spark, monkeypatch):
+    rng = random.Random(7)
+    shared = " ".join(f"s{i}" for i in range(80))
+    docs = [(d, f"{' '.join(f'u{rng.randint(0, 300)}' for _ in range(30))} {shared} {' '.join(f'v{rng.randint(0, 300)}' for _ in range(30))}") for d in range(30)]
+    docs += [(40, f"{shared} x {shared}"), (41, docs[3][1])]
+    assert run(spark, docs, 20) == brute(docs, 20)
+    # without what the search finds only the whole copy goes
+    monkeypatch.setattr(substring, "earlier_windows", lambda rows, window: ([[] for _ in rows], [0] * len(rows)))
+    assert [d for d, _, n, _ in run(spark, docs, 20) if n] == [41]
+
+
+def test_long_text(spark):
+    rng = random.Random(3)
+    docs = [(1, " ".join(f"w{rng.randint(0, 40)}" for _ in range(60_000))), (2, "a " * 60_000), (3, " ".join(f"w{i}" for i in range(50)) + " " + "a " * 100)]
+    assert run(spark, docs, 20) == brute(docs, 20)
