@@ -5,15 +5,16 @@ cross a piece.  Inside a piece the last token of every prefix is found by dynami
 programming: the tokens of a prefix ``p`` are those of a shorter prefix followed
 by one token ``t``, and they are the real encoding exactly if ``t`` may follow the
 shorter prefix's last token, i.e. if merging the two tokens' bytes gives back the
-two tokens.  The count of a document prefix is the count at the last piece end
-before it plus the entry of the piece it cuts, so truncation and budget questions
-need no second encoding.
+two tokens.  The counts at all prefixes of a piece are kept.  The count of a
+document prefix is the count at the last piece end before it plus the entry of the
+piece it cuts, so truncation and budget questions are looked up, not encoded.
 """
 
 from __future__ import annotations
 
 import bisect
 import json
+from array import array
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -27,8 +28,11 @@ from termloom.llm._common import chunks
 PIECE = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters whose classes are the same in every Unicode version and regex engine; others go by the library's splitter.
 PLAIN = r"[^\x00-\x1B\x20-ɏ‐-‧‰-⁞€™]"
-#: Entries of a table in a worker's memory.
+#: Entries of a table in a worker's memory, and bytes of a piece whose prefix counts are kept between documents.
 KEPT = 250_000
+KEPT_BYTES = 64
+#: Pieces that a cut inside splits another way: contractions, whose mark is then a piece of its own.
+CONTRACTIONS = ("'re", "'ve", "'ll", "'s", "'t", "'m", "'d")
 
 
 def byte_letters() -> dict[str, int]:
@@ -84,7 +88,8 @@ class PrefixCounter:
         self.follows = Kept(self._may_follow)
         self.right = Kept(lambda t: self._spine(t, 1))
         self.left = Kept(lambda t: self._spine(t, 0))
-        self.piece = Kept(lambda p: self.table(p)[-1])
+        self.tables = Kept(self.table)
+        self.piece = Kept(lambda p: self.prefixes(p)[-1])
         self.spaced = Kept(lambda word: sum(map(self.piece.__getitem__, self.split(" " + word))))
         self.library = None
 
@@ -112,12 +117,12 @@ class PrefixCounter:
                     return False
         return True
 
-    def table(self, piece: str) -> list[int]:
+    def table(self, piece: str) -> array:
         """Counts at every byte prefix of a piece, from 0."""
         data = piece.encode("utf-8", "replace")
         size, starts, vocab, follows = len(data), self.starts, self.vocab, self.follows
         last: list[bytes | None] = [None] * (size + 1)
-        count = [0] * (size + 1)
+        count = array("i", bytes(4 * (size + 1)))
         for start in range(size):
             before = last[start]
             for end in range(start + 1, size + 1):
@@ -128,6 +133,10 @@ class PrefixCounter:
                     last[end], count[end] = token, count[start] + 1
         return count
 
+    def prefixes(self, piece: str) -> array:
+        """The table of a piece, from the kept ones if it is short."""
+        return self.tables[piece] if len(piece) <= KEPT_BYTES else self.table(piece)
+
     def pieces(self, text: str) -> list[str]:
         if self.odd(text) is None:
             return self.split(text)
@@ -157,35 +166,91 @@ class PrefixCounter:
         parts = self.segments(text)
         return len(parts) - 1 + sum(self.plain(p) for p in parts if p)
 
-    def prefix_table(self, text: str) -> tuple[list[int], list[int], list[str]]:
-        """Piece ends in characters, token counts up to them, and the pieces; special strings are pieces."""
-        pieces: list[str] = []
-        marks = self.marks.findall(text) if self.marks else []
-        for i, part in enumerate(self.segments(text)):
-            pieces += [marks[i - 1]] if i else []
-            pieces += self.pieces(part) if part else []
-        known = set(self.specials)
-        return list(accumulate(map(len, pieces))), list(accumulate(1 if p in known else self.piece[p] for p in pieces)), pieces
-
-    def count_at(self, text: str, end: int, made: tuple[list[int], list[int], list[str]] | None = None) -> int:
-        """Tokens of ``text[:end]`` as a text of its own; only the pieces around the cut are looked at."""
-        ends, counts, _ = made or self.prefix_table(text)
-        k = bisect.bisect_right(ends, end)
-        while k and text[ends[k - 2] if k > 1 else 0 : ends[k - 1]].isspace():  # blanks at a cut may be split another way
-            k -= 1
-        start = ends[k - 1] if k else 0
-        return (counts[k - 1] if k else 0) + self.count(text[start:end])
+    def prefix_table(self, text: str) -> PrefixTable:
+        return PrefixTable(self, text)
+
+    def count_at(self, text: str, end: int) -> int:
+        """Tokens of ``text[:end]`` as a text of its own."""
+        return PrefixTable(self, text).at(end)
 
     def truncate(self, text: str, budget: int) -> str:
-        """The longest prefix ending at a piece, or inside the next one, with at most ``budget`` tokens."""
-        made = self.prefix_table(text)
-        ends, counts, _ = made
-        k = bisect.bisect_right(counts, budget)
-        at = ends[k - 1] if k else 0
-        if k < len(ends):
-            inside = [e for e in range(at + 1, ends[k]) if self.count_at(text, e, made) <= budget]
-            at = inside[-1] if inside else at
-        return text[:at]
+        """The longest prefix that ends at a piece, or inside the next one, with at most ``budget`` tokens."""
+        return text[: PrefixTable(self, text).cut(budget)]
+
+
+class PrefixTable:
+    """The token counts of a text at all its prefixes; every question after the first about a piece is a lookup."""
+
+    def __init__(self, counter: PrefixCounter, text: str):
+        self.counter, self.text = counter, text
+        self.pieces: list[str] = []
+        marks = counter.marks.findall(text) if counter.marks else []
+        for i, part in enumerate(counter.segments(text)):
+            self.pieces += [marks[i - 1]] if i else []
+            self.pieces += counter.pieces(part) if part else []
+        self.specials = set(counter.specials)
+        self.own: dict[tuple[int, int], list[int]] = {}
+        self.run = (0, 0)
+        self.odd = counter.odd(text) is not None
+        self.ends = list(accumulate(map(len, self.pieces)))
+        self.counts = list(accumulate(1 if p in self.specials else counter.piece[p] for p in self.pieces))
+
+    def _inside(self, start: int, piece: str) -> list[int]:
+        """Counts at every character of the piece that begins at ``start``."""
+        found = self.own.get((start, len(piece)))
+        if found is None:
+            table = self.counter.prefixes(piece)
+            sizes = accumulate((len(c.encode("utf-8", "replace")) for c in piece), initial=0)
+            found = self.own[start, len(piece)] = list(table) if piece.isascii() else [table[i] for i in sizes]
+        return found
+
+    def _before(self, k: int) -> tuple[int, int]:
+        """Where piece ``k`` begins, and the count up to there."""
+        return (self.ends[k - 1], self.counts[k - 1]) if k > 0 else (0, 0)
+
+    def _blanks(self, end: int) -> tuple[int, int]:
+        """The run of blanks around the character before ``end``."""
+        a, b = self.run
+        if not a < end <= b:
+            a = b = end - 1
+            while a and self.text[a - 1].isspace():
+                a -= 1
+            while b < len(self.text) and self.text[b].isspace():
+                b += 1
+            self.run = a, b
+        return a, b
+
+    def at(self, end: int) -> int:
+        """Tokens of ``text[:end]`` as a text of its own."""
+        if end <= 0 or not self.text:
+            return 0
+        if end >= len(self.text):
+            return self.counts[-1]
+        k = bisect.bisect_left(self.ends, end)
+        piece = self.pieces[k]
+        start, count = self._before(k)
+        cut = end < self.ends[k]
+        if cut and piece in self.specials:  # a part of a special string is a text like any other
+            start, count = self._before(k - 1) if k and self.pieces[k - 1] not in self.specials else (start, count)
+            return count + self.counter.plain(self.text[start:end])
+        if piece not in self.specials and self.text[end - 1].isspace():  # blanks at the end are one piece
+            a, b = self._blanks(end)
+            first = bisect.bisect_right(self.ends, a)  # the piece with the first blank
+            start, count = self._before(first)
+            if self.odd or start < a:
+                return count + self.counter.plain(self.text[start:end])
+            return count + self._inside(a, self.text[a:b])[end - a]
+        if cut and piece in CONTRACTIONS:
+            return count + self.counter.plain(piece[: end - start])
+        return count + self._inside(start, piece)[end - start] if cut else self.counts[k]
+
+    def cut(self, budget: int) -> int:
+        """The end of the longest prefix that ends at a piece, or inside the next one, with at most ``budget`` tokens."""
+        k = bisect.bisect_right(self.counts, budget)
+        end = self.ends[k - 1] if k else 0
+        if k < len(self.ends):
+            end = next((e for e in range(self.ends[k] - 1, end, -1) if self.at(e) <= budget), end)
+        return end
 
 
 def _counter(path: str) -> PrefixCounter:
@@ -201,8 +266,9 @@ _COUNTERS: dict[str, PrefixCounter] = {}
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row; null text is empty, with no bytes and no tokens.
 
-    ``path`` names the vocabulary file on every worker. Repeated rows stay
-    repeated; an empty table gives no rows; other columns are not read.
+    ``path`` names the vocabulary file on every worker. Whole texts of any length
+    are counted, in time linear in them. Repeated rows stay repeated; an empty table gives no rows; other
+    columns, whatever their names, are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

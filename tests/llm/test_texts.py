@@ -38,10 +38,21 @@ def test_counts_and_prefixes(library):
             assert counter.count_at(text, end) == size(text[:end]), (text, end)
             cut = counter.truncate(text, 5)
             assert size(cut) <= 5 and text.startswith(cut)
+        if rng.random() < 0.3:
+            made = counter.prefix_table(text)
+            assert [made.at(e) for e in range(len(text) + 1)] == [size(text[:e]) for e in range(len(text) + 1)], text
     word = " antidisestablishmentarianism"
-    assert counter.table(word) == [size(word[:i]) for i in range(len(word) + 1)]
+    assert list(counter.table(word)) == [size(word[:i]) for i in range(len(word) + 1)]
     long = "ab" * 30_000
     assert counter.count(long) == size(long)
+    for long in ("abcdefgh" * 12_500, "x" + " " * 100_000 + "y", "!?" * 50_000, "é" * 100_000):
+        began = time.perf_counter()
+        made = counter.prefix_table(long)
+        ends = [rng.randint(0, len(long)) for _ in range(200)]
+        found = [made.at(e) for e in ends]
+        cut = made.cut(1000)
+        assert time.perf_counter() - began < 5
+        assert found[:3] == [size(long[:e]) for e in ends[:3]] and size(long[:cut]) <= 1000 < size(long[: cut + 8])
 
 
 def test_token_rows(spark, library):
