@@ -53,6 +53,52 @@ def test_against_brute_force(spark, block):
     assert sorted((r.doc_id for r in clean.collect()), key=str) == sorted((d for d, _, h, _, _ in brute(docs, items) if not h), key=str)
 
 
+@pytest.mark.parametrize("block", [1 << 20, 200])
+def test_longest_matches(spark, block):
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(12)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(4, 60)))) for i in range(10)]
+    docs = []
+    for d in range(60):
+        parts = [" ".join(rng.choice([*vocabulary, "other"]) for _ in range(rng.randint(0, 30)))]
+        for _ in range(rng.randint(0, 3)):
+            w = items[rng.randrange(10)][1].split()
+            a = rng.randrange(len(w))
+            parts += [" ".join(w[a : a + rng.randint(3, 60)]), " ".join(rng.choice([*vocabulary, "other"]) for _ in range(rng.randint(0, 6)))]
+        docs.append((d, " ".join(parts)))
+    got = mark_contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), 5, ["doc_id"], block).collect()
+    many = 0
+    for r in got:
+        t = docs[r.doc_id][1].split()
+        best = 0
+        for _, x in items:
+            x = x.split()
+            for i in range(len(t)):
+                for j in range(len(x)):
+                    k = 0
+                    while i + k < len(t) and j + k < len(x) and t[i + k] == x[j + k]:
+                        k += 1
+                    best = max(best, k)
+        if r.hit_ranges:
+            many += 1
+            assert r.longest == best
+            x = items[int(r.longest_item)][1].split()
+            assert t[r.longest_at : r.longest_at + best] == x[r.longest_item_at : r.longest_item_at + best]
+        else:
+            assert (r.longest, r.longest_at, r.longest_item) == (0, -1, None) and best < 5
+    assert many > 30
+
+
+def test_long_text(spark):
+    rng = random.Random(1)
+    words = [f"w{rng.randrange(50)}" for _ in range(300_000)]
+    item = " ".join(f"x{i}" for i in range(200))
+    docs = spark.createDataFrame([(1, " ".join([*words, item, *words])), (2, None), (3, "")], "doc_id long, text string")
+    r = {x.doc_id: x for x in mark_contaminated(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
+    assert (r[1].longest, r[1].longest_at, r[1].longest_item, r[1].longest_item_at) == (200, 300_000, "7", 0)
+    assert r[2].n_words == r[3].n_words == r[2].longest == 0
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
