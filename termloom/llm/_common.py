@@ -28,23 +28,35 @@ def free_name(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
-def distributed_rank(df: DataFrame, part: Sequence[str], bucket: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
+def distributed_rank(df: DataFrame, part: Sequence[str], bucket: Sequence[str], order: Sequence[Column], out: str, like: DataFrame | None = None) -> DataFrame:
     """Gapless ranks from 1 within ``part``, in the order of ``bucket`` then ``order``.
 
     A plain window over ``part`` would bring each part into one task.  Rows are
     numbered inside (part, bucket) instead; the counts of the buckets, a small
     aggregate, are prefix-summed and added.  ``part`` and ``bucket`` must hold
-    no nulls.  The counts are a second, column-pruned read of the input.
+    no nulls.  The counts are a second, column-pruned read of the input, or of
+    ``like``, which has the same rows.
     """
     keys = [*part, *bucket]
     n, before, rank = free_name(df.withColumn(out, F.lit(0)), "__n", "__before", "__inner_rank")
     w = Window.partitionBy(*part).orderBy(*bucket).rowsBetween(Window.unboundedPreceding, -1)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(n))
+    counts = (df if like is None else like).groupBy(*keys).agg(F.count(F.lit(1)).alias(n))
     offsets = counts.select(*keys, F.coalesce(F.sum(n).over(w), F.lit(0)).alias(before))
     inner = df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
     return inner.join(offsets, keys).withColumn(out, F.col(rank) + F.col(before)).drop(rank, before)
 
 
+def digest(*parts: Column | str | int) -> Column:
+    """The MD5 of the parts as hex digits; plain SQL has it too. Null parts count as the text ``null``."""
+    columns = [p if isinstance(p, Column) else F.lit(str(p)) for p in parts]
+    return F.md5(F.concat_ws(":", *[F.coalesce(c.cast("string"), F.lit("null")) for c in columns]).cast("binary"))
+
+
+def leading(hexed: Column, digits: int) -> Column:
+    """The number that the first ``digits`` (13 at most) of a digest are, as a double."""
+    return F.conv(F.substring(hexed, 1, digits), 16, 10).cast("double")
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of at most about ``limit`` bytes of ``column`` (one row at least), with its values; null is empty."""
     for batch in batches:

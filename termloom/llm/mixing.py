@@ -4,8 +4,9 @@ Each document of a source is expected in ``rate = target / source size`` copies.
 Documents are put in a fixed order, the expected copies are prefix-summed, one
 random offset a source is added, and a document is emitted once for each whole
 number its interval crosses.  The order goes by size, so that the copies are
-spread evenly over short and long documents and the words taken stay within
-about one document of the target.
+spread evenly over short and long documents.  Documents long for their target are
+drawn first; the rate of the others then makes up for what the draw of the long
+ones took too much or too little, so that the words taken stay near the target.
 """
 
 from __future__ import annotations
@@ -15,10 +16,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from termloom.llm._common import WORD, distributed_rank, free_name
+from termloom.llm._common import WORD, digest, distributed_rank, free_name, leading
+from termloom.session import stage
 
-#: Buckets a size class of a source is split into, so that a hot source is many tasks.
-BUCKETS = 64
+#: Hex digits of a document's hash that split a size class of a source, so that a hot source is many tasks.
+SPLIT = 2
+#: Documents of more than this share of their source's target are drawn first.
+LONG = 1 / 64
 
 
 def word_count(text: Column) -> Column:
@@ -54,29 +58,51 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share
     return t.select("source", "source_size", F.least("cap", F.col("level") * F.col("weight")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
+def _crossed(seed: int, part: str, name: str, no: str, rate: Column, rank: Column) -> Column:
+    """Whole numbers between the prefix sums of the expected copies before and after a document."""
+    offset = leading(digest(seed, part, F.col(no), F.col(name)), 8) / F.lit(float(1 << 32))
+    return (F.floor(offset + rate * rank) - F.floor(offset + rate * (rank - 1))).cast("long")
+
+
+def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, size: Column | None = None, tie: Column | None = None) -> DataFrame:
     """``docs`` with size, source_size, target and copies (0 to ceil(most)); columns of these names are replaced.
 
-    Null text counts no words; a null source is a source of its own; repeated
-    rows are documents like any other; sources without words get target 0 and
-    no copies.  An empty table gives no rows.  Equal rows are interchangeable,
-    so the result is the same in every run.
+    ``size`` is counted in words of the text unless another column is given, and
+    ``tie`` orders rows of one doc_id and size, by the text's CRC if none is given.
+    Null and empty texts have size 0, whole texts of any length count; a null
+    source is a source of its own; rows of a null doc_id and repeated rows are
+    documents like any other; sources without words get target 0 and no copies.
+    An empty table gives no rows.  Equal rows are interchangeable, so the result
+    is the same in every run.
     """
     own = ["size", "source_size", "target", "copies"]
-    docs = docs.drop(*own)
-    no, name, klass, spot, rank = free_name(docs, "__nosource", "__source", "__class", "__spot", "__rank")
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    base = docs.withColumns({"size": word_count(F.col("text")), no: F.col("source").isNull(), name: F.coalesce("source", F.lit(""))}).withColumns(
-        {klass: F.when(F.col("size") > 0, F.floor(F.log2("size") * 4)).otherwise(-1).cast("int"), spot: F.pmod(key, F.lit(BUCKETS)).cast("int")}
-    )
-    ranked = distributed_rank(base, [no, name], [klass, spot], [F.col("size"), key, F.col("doc_id")], rank)
-    sizes = docs.groupBy("source").agg(F.sum(word_count(F.col("text"))).alias("source_size"))
+    size = word_count(F.col("text")) if size is None else size
+    tie = F.crc32(F.coalesce("text", F.lit("")).cast("binary")) if tie is None else tie
+    keep = [c for c in docs.columns if c.lower() not in own]
+    no, name, klass, spot, rank, key, last, long, words, rest, param = free_name(docs, *(f"__{x}" for x in ("nosource", "source", "class", "spot", "rank", "key", "tie", "long", "words", "rest", "rate")))
+    # measured once; everything but the last step reads the measures
+    base = docs.withColumns({words: size, last: tie}).drop(*own)
+    base = base.withColumns({no: F.col("source").isNull(), name: F.coalesce("source", F.lit("")), key: digest(seed, F.col("doc_id"), F.col(last))})
+    bits = F.bin(F.col(words))
+    base = base.withColumns({klass: F.concat(F.lpad(F.length(bits).cast("string"), 2, "0"), F.substring(bits, 1, 3)), spot: F.substring(key, 1, SPLIT)})
+    measures = stage(base.select(no, name, words, klass, spot, key, "doc_id", last))
+    sizes = measures.groupBy(no, name).agg(F.sum(words).alias("source_size")).select(F.when(~F.col(no), F.col(name)).alias("source"), "source_size")
     targets = source_targets(sizes, weights, share, most).select(F.col("source").isNull().alias(no), F.coalesce("source", F.lit("")).alias(name), "source_size", "target")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    offset = F.pmod(F.xxhash64(F.lit(seed + 1), F.col(name), F.col(no)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    crossed = F.floor(offset + rate * F.col(rank)) - F.floor(offset + rate * (F.col(rank) - 1))
-    mixed = ranked.join(targets, [no, name]).withColumn("copies", crossed.cast("long"))
-    return mixed.select(*docs.columns, *own)
+    targets = stage(targets)
+    order = [F.col(words), F.col(key), F.col("doc_id"), F.col(last)]
+    is_long = F.col(words) > F.col("target") * F.lit(LONG)
+    # the long ones, and what is left for the others
+    marked = measures.join(targets, [no, name]).withColumn(long, is_long)
+    drawn = distributed_rank(marked.filter(long), [no, name], [klass, spot], order, rank)
+    taken = drawn.withColumn("copies", _crossed(seed + 1, "long", name, no, F.col("target") / F.col("source_size"), F.col(rank)))
+    taken = taken.groupBy(no, name).agg(F.sum(F.col("copies") * F.col(words)).alias("__taken"), F.sum(words).alias("__long"))
+    left = F.col("source_size") - F.coalesce("__long", F.lit(0))
+    rate = F.when(left > 0, F.least(F.lit(float(most)), F.greatest(F.lit(0.0), (F.col("target") - F.coalesce("__taken", F.lit(0))) / left))).otherwise(0.0)
+    rates = stage(targets.join(taken, [no, name], "left").select(no, name, "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias(param), rate.alias(rest)))
+    # all documents
+    ranked = distributed_rank(base.join(rates, [no, name]).withColumn(long, is_long), [no, name, long], [klass, spot], order, rank, marked)
+    copies = F.when(F.col(long), _crossed(seed + 1, "long", name, no, F.col(param), F.col(rank))).otherwise(_crossed(seed + 1, "rest", name, no, F.col(rest), F.col(rank)))
+    return ranked.withColumns({"size": F.col(words), "copies": copies}).select(*keep, *own)
 
 
 def emit(mixed: DataFrame) -> DataFrame:

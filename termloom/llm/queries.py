@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.session import table
+from termloom.llm.oracles import ORACLES  # noqa: F401  read by the registry
+from termloom.session import stage, table
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from termloom.llm.mixing import mix_sources
+    from termloom.llm.mixing import mix_sources, word_count
 
-    mixed = mix_sources(table(spark, sf_dir, "documents"))
+    # measured first and once, so that the texts themselves are neither shuffled nor read again
+    text = F.col("text")
+    docs = stage(table(spark, sf_dir, "documents").select("doc_id", "source", word_count(text).alias("words"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("crc")))
+    mixed = mix_sources(docs, size=F.col("words"), tie=F.col("crc"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
@@ -85,4 +89,3 @@ def op10_suffix_array_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_source_mix, op2_rendezvous_shards, op3_byte_index_simhash, op4_prefix_token_counts, op5_fm_index_repeats, op6_guess_cost_secrets, op7_random_index_quality, op8_min_cut_text, op9_ivf_pq_neighbours, op10_suffix_array_decontam)}
-ORACLES: dict[str, str] = {}

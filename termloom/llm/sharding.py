@@ -12,16 +12,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm._common import distributed_rank, free_name
+from termloom.llm._common import digest, distributed_rank, free_name, leading
 
-#: Buckets that a shard's rows are numbered in, so that a shard is many tasks.
-BUCKETS = 64
+#: Hex digits of a row's hash that split a shard for numbering its rows, so that a shard is many tasks.
+SPLIT = 2
 
 
 def _cost(key: Column, shard: int, weight: float, seed: int) -> Column:
     """-ln(u) / weight of a uniform draw u; the least cost wins with odds in proportion to the weight."""
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(shard), key), 11).cast("double")
-    return -F.log((draw + F.lit(0.5)) / F.lit(float(1 << 53))) / F.lit(float(weight))
+    draw = leading(digest(seed, shard, key), 13)
+    return -F.log((draw + F.lit(0.5)) / F.lit(float(1 << 52))) / F.lit(float(weight))
 
 
 def shard_of(key: Column, weights: Sequence[float], seed: int = 29) -> Column:
@@ -35,23 +35,28 @@ def shard_rows(docs: DataFrame, weights: Sequence[float] = (1.0,) * 40, grown_we
 
     doc_id and the shards decide alone: rows of one doc_id share a shard, null
     is a key like any other, the text plays no part.  Slots count a shard's
-    rows from 0 without gaps, in an order made from doc_id and ``tie`` (by default the
-    CRC of the text); equal rows are interchangeable.  An empty table gives no rows.  Columns
+    rows from 0 without gaps, in the order of a hash of doc_id and ``tie`` (by
+    default the CRC of the text, of whatever length; null texts count as empty);
+    equal rows are interchangeable.  An empty table gives no rows.  Columns
     named like the three are replaced.
     """
     own = ["shard", "slot", "grown_shard"]
     docs = docs.drop(*own)
-    best, spot, rank = free_name(docs, "__best", "__spot", "__rank")
+    spot, rank, draw, last, order = free_name(docs, "__spot", "__rank", "__draw", "__tie", "__order")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     draws = [F.struct(_cost(key, i, w, seed).alias("cost"), F.lit(i).alias("shard")) for i, w in enumerate(weights) if w > 0]
     grown = _cost(key, len(weights), grown_weight, seed)
-    (draw,) = free_name(docs, "__draw")
     placed = (
-        docs.withColumn(draw, F.array_min(F.array(*draws)))
-        .withColumn("shard", F.col(f"{draw}.shard"))
-        .withColumn("grown_shard", F.when(grown < F.col(f"{draw}.cost"), F.lit(len(weights))).otherwise(F.col(f"{draw}.shard")))
+        docs.withColumns({draw: F.array_min(F.array(*draws)), last: F.crc32(F.coalesce("text", F.lit("")).cast("binary")) if tie is None else tie})
+        .withColumns(
+            {
+                "shard": F.col(f"{draw}.shard"),
+                "grown_shard": F.when(grown < F.col(f"{draw}.cost"), F.lit(len(weights))).otherwise(F.col(f"{draw}.shard")),
+                order: digest(seed + 1, key, F.col(last)),
+            }
+        )
         .drop(draw)
-        .withColumn(spot, F.pmod(F.xxhash64(F.lit(seed + 1), key), F.lit(BUCKETS)).cast("int"))
+        .withColumn(spot, F.substring(order, 1, SPLIT))
     )
-    ranked = distributed_rank(placed, ["shard"], [spot], [F.col("doc_id"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")) if tie is None else tie], rank)
+    ranked = distributed_rank(placed, ["shard"], [spot], [F.col(order), F.col("doc_id"), F.col(last)], rank)
     return ranked.withColumn("slot", F.col(rank) - 1).select(*docs.columns, *own)
