@@ -8,12 +8,16 @@ useful lists.  The rest is found by prefix filtering: all sets are put in one
 total order; two sets of similarity ``s`` or more then share an element among
 the first ``n - ceil(s * n) + 1`` of each, so an index of these prefixes meets
 every such pair.  The order is free: shingles that a sample shows to be common
-come last, which keeps lists short.  Pairs with too few common shingles in their
-prefixes are ruled out, the others are verified by the size of the intersection.
+come last, which keeps lists short.  What follows the first common element in
+either set bounds the intersection, so a list pairs an element only with sets
+that its place in both still allows; the pairs left are verified by the size of
+the intersection.
 
 A group of n near copies would give n * n / 2 candidates.  Each set is therefore
 first compared with the one list head it meets most often; pairs that these
-links already join, and lists that hold one group only, need no comparison.
+links already join, and lists that hold one group only, need no comparison.  Sets
+that share a long passage but too little besides have their common elements too
+late to be paired, however many they are.
 """
 
 from __future__ import annotations
@@ -151,7 +155,7 @@ def similar(sets: DataFrame, docs: DataFrame, words: int, s: Fraction) -> DataFr
     x, y = (prints.select(F.col("fingerprint").alias(k), F.col("head").alias(f"head_{k}")) for k in "xy")
     close = links(prints.select("fingerprint"), BITS).distinct().toDF("x", "y").join(x, "x").join(y, "y").select(F.col("head_x").alias("a"), F.col("head_y").alias("b"))
     # prefixes: lists of several sets
-    posts = sets.select("sid", F.col("n").cast("int").alias("n"), F.explode("g").alias("g"))
+    posts = sets.select("sid", F.col("n").cast("int").alias("n"), F.posexplode("g").alias("at", "g"))
     heads = posts.groupBy("g").agg(F.min("sid").alias("head"), F.max("sid").alias("last")).filter("head <> last").select("g", "head")
     posts = stage(posts.join(heads, "g"))
     m = sets.select(F.col("sid").alias("head"), F.col("n").cast("int").alias("m"))
@@ -163,11 +167,13 @@ def similar(sets: DataFrame, docs: DataFrame, words: int, s: Fraction) -> DataFr
     mixed = named.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("g")
     left = stage(named.join(mixed, "g"))
     unstage(prints, posts)
-    a, b = (left.select("g", *[F.col(c).alias(f"{c}_{k}") for c in ("sid", "n", "root")]) for k in "ab")
+    # x is the smaller set: of its first common element on, it must hold what a partner of its own size needs
     p, q = s.numerator, s.denominator
-    fits = (F.col("sid_a") < F.col("sid_b")) & (F.col("root_a") != F.col("root_b")) & (F.least("n_a", "n_b") * q >= F.greatest("n_a", "n_b") * p)
-    met = a.join(b, "g").filter(fits).groupBy("sid_a", "sid_b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("c"))
-    more = met.filter(_enough("c", "n_a", "n_b", s)).select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"))
+    x, y = (left.select("g", *[F.col(c).alias(f"{c}_{k}") for c in ("sid", "n", "root")], (F.col("n") - F.col("at")).alias(f"rest_{k}")) for k in "xy")
+    x = x.filter(F.col("rest_x") * (p + q) >= F.col("n_x") * (2 * p))
+    smaller = (F.col("n_x") < F.col("n_y")) | (F.col("n_x") == F.col("n_y")) & (F.col("sid_x") < F.col("sid_y"))
+    allowed = (F.col("n_x") * q >= F.col("n_y") * p) & (F.least("rest_x", "rest_y") * (p + q) >= (F.col("n_x") + F.col("n_y")) * p)
+    more = x.join(y, "g").filter((F.col("root_x") != F.col("root_y")) & smaller & allowed).select(F.col("sid_x").alias("a"), F.col("sid_y").alias("b")).distinct()
     found = stage(first.unionAll(_verified(more, sets, docs, words, s)))
     unstage(left, first)
     return found
