@@ -32,6 +32,8 @@ BLOCK = 2048
 RERANK = 2
 #: The share of true neighbours that the cells probed must hold, measured on the sample.
 AIM = 0.95
+#: Parts that a query's lists of neighbours are merged in.
+MERGES = 64
 SEED = 11
 
 
@@ -227,8 +229,8 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20) -> Dat
                 raw = part.column(0).to_pylist()
                 yield pa.RecordBatch.from_arrays([pa.array([raw[j] for j in who], pa.binary()), pa.array(least[who]), pa.array([int(c) for _, c, _ in out], pa.int32()), pa.array([s for _, _, s in out], pa.int32())], ["q", "least", "cell", "block"])
 
-    deal = F.element_at(F.array(*[F.lit(int(n)) for n in blocks]), F.col("cell") + 1)
-    rows = indexed.select("v", "ids", "cell", "code", F.pmod(F.xxhash64("v"), deal).cast("int").alias("block"))
+    deal = spark.createDataFrame([(i, int(n)) for i, n in enumerate(blocks)], "cell int, deal int")  # a row a cell, MOST_CELLS at most
+    rows = indexed.join(F.broadcast(deal), "cell").select("v", "ids", "cell", "code", F.pmod(F.xxhash64("v"), F.col("deal")).cast("int").alias("block"))
 
     def search(asked: DataFrame, everywhere: bool) -> DataFrame:
         """(q, near) with the k + 1 best (-score, id) of each query vector."""
@@ -236,7 +238,10 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20) -> Dat
         found = rows.groupBy("cell", "block").cogroup(wide.groupBy("cell", "block")).applyInPandas(_search(index, k, everywhere), "q binary, found array<struct<score:double,ids:array<long>>>")
         each = F.flatten(F.transform("found", lambda f: F.transform(f["ids"], lambda i: F.struct((-f["score"]).alias("s"), i.alias("id")))))
         near = found.select("q", F.slice(F.array_sort(each), 1, k + 1).alias("near"))
-        return stage(near.groupBy("q").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near")))
+        best = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near")
+        # a query has a list from each cell and block: merged in MERGES parts first
+        part = near.withColumn("part", F.spark_partition_id() % MERGES).groupBy("q", "part").agg(best)
+        return stage(part.groupBy("q").agg(best))
 
     asked = indexed.filter("asked").select("v")
     best = search(asked, False)

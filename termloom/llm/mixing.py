@@ -110,3 +110,11 @@ def emit(mixed: DataFrame) -> DataFrame:
     (copy,) = free_name(mixed, "__copy")
     rows = mixed.filter("copies > 0").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return rows.drop(copy, "size", "source_size", "target", "copies")
+
+
+def draw(docs: DataFrame, **how) -> DataFrame:
+    """``docs`` as often as ``mix_sources`` takes each row, with their own columns, whatever their names."""
+    own = ("size", "source_size", "target", "copies")
+    put_by = dict(zip([c for c in docs.columns if c.lower() in own], free_name(docs, *(f"__{c}" for c in docs.columns if c.lower() in own))))
+    taken = emit(mix_sources(docs.withColumnsRenamed(put_by), **how))
+    return taken.withColumnsRenamed({v: k for k, v in put_by.items()}).select(*docs.columns)

@@ -176,28 +176,38 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> tuple[list[bytes], np.ndarray]:
-    """Texts and labels of at most ``rows`` training rows and ``most_bytes``, in hash order; null texts are empty."""
+    """Texts and labels of at most ``rows`` training rows and ``most_bytes``, in hash order; null texts are empty.
+
+    The rows are chosen by their keys and lengths; only the chosen texts are
+    fetched. Texts longer than ``most_bytes`` are not chosen; rows with one
+    doc_id and text are one; of several labels of a doc_id the least counts.
+    """
     order = [F.xxhash64(F.lit(SEED), F.col("doc_id")), F.col("doc_id")]
     marks = labels.filter(F.col("quality").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     some = F.broadcast(marks.orderBy(*order).limit(rows))  # at most `rows` rows of two numbers
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    found = docs.select("doc_id", text.alias("text")).join(some, "doc_id").filter(F.octet_length("text") <= most_bytes)
-    picked = found.orderBy(*order, F.xxhash64("text")).limit(rows).toLocalIterator()
-    texts, ys, size = [], [], 0
-    for row in picked:
-        size += len(row.text)
+    keyed = docs.select("doc_id", F.xxhash64(text).alias("h"), F.octet_length(text).alias("bytes"), text.alias("text"))
+    keys = keyed.drop("text").filter(F.col("bytes") <= most_bytes).join(some, "doc_id").distinct()
+    chosen, size = [], 0
+    for row in keys.orderBy(*order, "h").limit(rows).toLocalIterator():
+        size += row.bytes
         if size > most_bytes:
             break
-        texts.append(bytes(row.text))
-        ys.append(int(row.quality > 0))
-    return texts, np.array(ys)
+        chosen.append(row)
+    if not chosen:
+        return [], np.array([])
+    wanted = docs.sparkSession.createDataFrame([(r.doc_id, r.h) for r in chosen], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h long")
+    found = keyed.select("doc_id", "h", "text").join(F.broadcast(wanted), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])
+    texts = {(r.doc_id, r.h): bytes(r.text) for r in found.toLocalIterator()}
+    return [texts[r.doc_id, r.h] for r in chosen], np.array([int(r.quality > 0) for r in chosen])
 
 
 def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 if score >= threshold); columns of these names are replaced.
 
-    Only the text is looked at. Null text is empty; an empty text gets a score
-    like any other; repeated rows stay repeated; an empty table gives no rows.
+    Only the text is looked at, the whole of it. Null text is empty; an empty
+    text gets a score like any other; a score equal to the threshold is predicted 1;
+    repeated rows stay repeated; an empty table gives no rows.
     """
     docs = docs.drop("score", "predicted")
     held = docs.sparkSession.sparkContext.broadcast(model)
