@@ -10,8 +10,9 @@ the first ``n - ceil(s * n) + 1`` of each, so an index of these prefixes meets
 every such pair.  The order is free: shingles that a sample shows to be common
 come last, which keeps lists short.  What follows the first common element in
 either set bounds the intersection, so a list pairs an element only with sets
-that its place in both still allows; the pairs left are verified by the size of
-the intersection.
+that its place in both still allows.  Of the pairs left, those go whose parity
+sketches differ in more bits than their sets may in elements, which no pair of
+similarity ``s`` can; the others are verified by the size of the intersection.
 
 A group of n near copies would give n * n / 2 candidates.  Each set is therefore
 first compared with the one list head it meets most often; pairs that these
@@ -81,6 +82,39 @@ def print_of(found: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(found), bitorder="little").view("<i8")[0])
 
 
+def sketch(found: np.ndarray) -> bytes:
+    """Whether an odd number of hashes falls in each of two to four times as many slots as there are hashes.
+
+    Each element that only one of two sets has changes one bit, so two sketches
+    differ in no more bits than the sets in elements.
+    """
+    slots = 2 << max(32, len(found)).bit_length()
+    odd = np.bincount((found & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """The bits in which two sketches differ; the longer is folded to the slots of the shorter."""
+    a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, s: Fraction) -> DataFrame:
+    """``pairs(a, b)`` without those whose sketches show that their sets differ in too many elements."""
+    most = Fraction(s.denominator - s.numerator, s.denominator + s.numerator)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n, m, x, y = (c.to_pylist() for c in batch.columns)
+            ok = pa.array([differing(x[i], y[i]) * most.denominator <= (n[i] + m[i]) * most.numerator for i in range(len(a))], pa.bool_())
+            yield batch.select([0, 1]).filter(ok)
+
+    x, y = (sets.select(F.col("sid").alias(k), F.col("n").alias(f"n_{k}"), F.col("odd").alias(f"odd_{k}")) for k in "ab")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "odd_a", "odd_b").mapInArrow(run, "a long, b long")
+
+
 def _lists(values: list[np.ndarray]) -> pa.Array:
     ends = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values).view(np.int64)))
@@ -111,7 +145,7 @@ def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, s: Fraction) -> DataFrame:
     """Those of ``pairs(a, b)`` of set numbers whose sets have a similarity of ``s`` or more."""
-    pairs = stage(pairs)
+    pairs = stage(_possible(pairs, sets, s))
     need = pairs.select(F.col("a").alias("sid")).unionAll(pairs.select(F.col("b").alias("sid"))).distinct()
     need = stage(sets.join(need, "sid", "left_semi").select("sid", "s1", "s2", "h"))
     # keys are small: sent to all tasks, they keep texts that nothing meets from being shuffled
@@ -145,9 +179,9 @@ def _enough(c: str, x: str, y: str, s: Fraction) -> Column:
 
 
 def similar(sets: DataFrame, docs: DataFrame, words: int, s: Fraction) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs of the staged ``sets(sid, s1, s2, h, n, f, g)`` of similarity ``s`` or more.
+    """Links (a, b) whose components are those of all pairs of the staged ``sets(sid, s1, s2, h, n, f, odd, g)`` of similarity ``s`` or more.
 
-    f is a set's fingerprint, g its prefix; ``docs(h, text)`` has a text of every set.
+    f is a set's fingerprint, odd its sketch, g its prefix; ``docs(h, text)`` has a text of every set.
     """
     # fingerprints: sets of one print hang on its first set, near prints are joined by their first sets
     prints = stage(sets.groupBy(F.col("f").alias("fingerprint")).agg(F.min("sid").alias("head")))
@@ -195,13 +229,14 @@ def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches, "text"):
             found = shingle_sets(texts, words)
-            made = [*_names(found), pa.array([len(x) for x in found], pa.int64()), pa.array([print_of(x) for x in found], pa.int64()), _lists([prefix(x, common, count, s) for x in found])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["doc_id", "h", "s1", "s2", "n", "f", "g"])
+            made = [*_names(found), pa.array([len(x) for x in found], pa.int64()), pa.array([print_of(x) for x in found], pa.int64())]
+            made += [pa.array([sketch(x) for x in found], pa.binary()), _lists([prefix(x, common, count, s) for x in found])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["doc_id", "h", "s1", "s2", "n", "f", "odd", "g"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = stage(keyed.mapInArrow(run, f"doc_id {kind}, h long, s1 long, s2 long, n long, f long, g array<long>"))
+    rows = stage(keyed.mapInArrow(run, f"doc_id {kind}, h long, s1 long, s2 long, n long, f long, odd binary, g array<long>"))
     # one row a set, numbered; the numbers hold since the table is written
-    sets = stage(rows.groupBy("s1", "s2").agg(F.first(F.struct("h", "n", "f", "g")).alias("x")).select(F.monotonically_increasing_id().alias("sid"), "s1", "s2", "x.*"))
+    sets = stage(rows.groupBy("s1", "s2").agg(F.first(F.struct("h", "n", "f", "odd", "g")).alias("x")).select(F.monotonically_increasing_id().alias("sid"), "s1", "s2", "x.*"))
     linked = stage(components(similar(sets, keyed.select("h", "text"), words, s)))
     named = rows.select("doc_id", "h", "s1", "s2").join(sets.select("sid", "s1", "s2"), ["s1", "s2"])
     roots = stage(named.join(linked, named["sid"] == linked["node"], "left").select("doc_id", "h", F.coalesce("root", "sid").alias("root")))

@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
-from termloom.llm.jaccard import drop_similar
+from termloom.llm.jaccard import differing, drop_similar, sketch
 
 
 def grams(text):
@@ -54,6 +56,18 @@ def test_every_pair_of_four_fifths_is_found(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()) == want
 
 
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        both = rng.integers(0, 1 << 63, rng.integers(0, 600)).astype(np.uint64)
+        a, b = (np.unique(np.concatenate([both, rng.integers(0, 1 << 63, rng.integers(0, 300)).astype(np.uint64)])) for _ in "ab")
+        apart = len(np.setxor1d(a, b))
+        assert differing(sketch(a), sketch(b)) <= apart
+        if apart > 100:
+            assert differing(sketch(a), sketch(b)) > apart / 2
+    assert differing(sketch(both[:0]), sketch(both[:0])) == 0
+
+
 def test_odd_rows(spark):
     schema = "doc_id long, text string, `TEXT_` string, __key int, n int, g int"
     rows = [(5, "a b c d"), (3, "A b c d"), (7, None), (None, ""), (None, "x y z"), (5, "a b c d"), (9, "q")]
