@@ -64,26 +64,30 @@ def _in_years(y: Column) -> Column:
     return F.when(y.between(FIRST_YEAR, LAST_YEAR), y.cast("int"))
 
 
-def year_of(c: Column) -> Column:
-    """The year of a cell: a plain year, a date, a spreadsheet serial, or the first year written in it; 0 if none is from 1990 to 2030."""
+def date_parts(c: Column) -> Column:
+    """struct(n, s, at) of a cell: its number, its text, and the moment written in it; what the three functions below read."""
     n, s = number(c), strip(c)
-    serial = F.when(F.abs(n) < 100_000, n)
+    dashed = F.replace(F.replace(F.replace(s, F.lit("年"), F.lit("-")), F.lit("月"), F.lit("-")), F.lit("日"), F.lit(""))
+    open_end = F.regexp_replace(dashed, "^((?:19|20)[0-9]{2}-[0-9]{1,2})-$", "$1")
+    at = F.when(n.isNull() & ~dashed.rlike("^(?:19|20)[0-9]{2}-?$"), moment(open_end))
+    return F.struct(n.alias("n"), s.alias("s"), at.alias("at"))
+
+
+def year_from(n: Column, s: Column, at: Column) -> Column:
+    """The year of the parts of a cell."""
     return F.coalesce(
         F.when(n.between(FIRST_YEAR, LAST_YEAR), n.cast("int")),
-        F.when(n.isNull(), _in_years(F.year(moment(s)))),
-        _in_years(F.year(serial_date(serial))),
+        F.when(~s.rlike("[年月日]"), _in_years(F.year(at))),
+        _in_years(F.year(serial_date(F.when(F.abs(n) < 100_000, n)))),
         _in_years(F.regexp_extract(s, "((?:19|20)[0-9]{2})", 1).try_cast("int")),
         F.lit(0),
     )
 
 
-def month_of(c: Column) -> Column:
-    """The month of a cell, 0 if it cannot be told; a bare year has none."""
-    n = number(c)
-    s = F.replace(F.replace(F.replace(strip(c), F.lit("年"), F.lit("-")), F.lit("月"), F.lit("-")), F.lit("日"), F.lit(""))
-    open_end = F.regexp_replace(s, "^((?:19|20)[0-9]{2}-[0-9]{1,2})-$", "$1")
-    at = F.when(n.isNull() & ~s.rlike("^(?:19|20)[0-9]{2}-?$"), moment(open_end))
-    written = F.regexp_extract(s, r"(?:19|20)[0-9]{2}[^0-9]{1,3}([0-9]{1,2})", 1).try_cast("int")
+def month_from(n: Column, s: Column, at: Column) -> Column:
+    """The month of the parts of a cell."""
+    dashed = F.replace(F.regexp_replace(s, "[年月]", "-"), F.lit("日"), F.lit(""))
+    written = F.regexp_extract(dashed, r"(?:19|20)[0-9]{2}[^0-9]{1,3}([0-9]{1,2})", 1).try_cast("int")
     return F.coalesce(
         F.when(F.year(at).between(FIRST_YEAR, LAST_YEAR), F.month(at)),
         F.when(n.between(FIRST_SERIAL, LAST_SERIAL), F.month(serial_date(n))),
@@ -92,10 +96,26 @@ def month_of(c: Column) -> Column:
     )
 
 
+def date_from(n: Column, s: Column) -> Column:
+    """The text of the parts of a cell."""
+    return F.coalesce(F.when(n.between(FIRST_SERIAL, LAST_SERIAL), F.date_format(serial_date(n), "yyyy-MM-dd")), s, F.lit(""))
+
+
+def year_of(c: Column) -> Column:
+    """The year of a cell: a plain year, a date, a spreadsheet serial, or the first year written in it; 0 if none is from 1990 to 2030."""
+    p = date_parts(c)
+    return year_from(p["n"], p["s"], p["at"])
+
+
+def month_of(c: Column) -> Column:
+    """The month of a cell, 0 if it cannot be told; a bare year has none."""
+    p = date_parts(c)
+    return month_from(p["n"], p["s"], p["at"])
+
+
 def date_text(c: Column) -> Column:
     """The cell as text; spreadsheet serials as ISO dates; null as an empty text."""
-    n = number(c)
-    return F.coalesce(F.when(n.between(FIRST_SERIAL, LAST_SERIAL), F.date_format(serial_date(n), "yyyy-MM-dd")), strip(c), F.lit(""))
+    return date_from(number(c), strip(c))
 
 
 def code_key(c: Column) -> Column:

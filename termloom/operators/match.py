@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from termloom.functions.text import occurrences
 
 #: Keywords that a broadcast join compares with every sentence. The dictionary is counted before it is broadcast.
-MOST_BROADCAST = 1000
+MOST_COMPARED = 50
+#: Words of a list that a broadcast hash join looks tokens up in; a longer list is shuffled.
+MOST_BROADCAST = 100_000
 
 
 def explode_sentences(df: DataFrame, sentences: str = "sentences") -> DataFrame:
@@ -26,38 +28,46 @@ def explode_sentences(df: DataFrame, sentences: str = "sentences") -> DataFrame:
     return df.select(*rest, F.posexplode(sentences).alias("sent_no", "sentence"))
 
 
-def hits(sentences: DataFrame, keywords: list[str], column: str = "sentence") -> DataFrame:
-    """``sentences`` joined with each keyword found in it and its count ``n``, ignoring case."""
+def hits(sentences: DataFrame, keywords: list[str], column: str = "sentence", keep: bool = False, most: int = MOST_COMPARED) -> DataFrame:
+    """``sentences`` joined with each keyword found in it and its count ``n``, ignoring case.
+
+    With ``keep`` a sentence without any (or a null one) stays, with a null
+    keyword and 0. Both ways lower-case with the same JVM function, so the
+    result does not depend on the size of the dictionary.
+    """
     words = sorted(set(keywords))
     if any("\n" in w for w in words):
         raise ValueError("a keyword may not hold a line break")
-    if len(words) > MOST_BROADCAST:
-        return _automaton(sentences, words, column)
     spark = sentences.sparkSession
-    small = F.broadcast(spark.createDataFrame([(w,) for w in words], "keyword string").withColumn("__low", F.lower("keyword")))
-    found = sentences.withColumn("__text", F.lower(column)).join(small, F.col("__text").contains(F.col("__low")))
-    return found.withColumn("n", occurrences(F.col("__text"), F.col("__low"))).drop("__text", "__low")
+    small = spark.createDataFrame([(w,) for w in words], "keyword string").withColumn("__low", F.lower("keyword"))
+    found = sentences.withColumn("__text", F.lower(column))
+    if len(words) > most:
+        return _automaton(found, [(r.keyword, r["__low"]) for r in small.toLocalIterator()], keep)
+    found = found.join(F.broadcast(small), F.col("__text").contains(F.col("__low")), "left" if keep else "inner")
+    n = occurrences(F.col("__text"), F.col("__low"))
+    return found.withColumn("n", F.coalesce(n, F.lit(0).cast("long")) if keep else n).drop("__text", "__low")
 
 
-def _automaton(sentences: DataFrame, words: list[str], column: str) -> DataFrame:
+def _automaton(sentences: DataFrame, words: list[tuple[str, str]], keep: bool) -> DataFrame:
+    """The same by an automaton of (keyword, lower-cased) pairs over the lower-cased ``__text``."""
     held = sentences.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
         same: dict[str, list[str]] = {}
-        for w in held.value:
-            same.setdefault(w.lower(), []).append(w)
+        for w, low in held.value:
+            same.setdefault(low, []).append(w)
         automaton = ahocorasick.Automaton()
         for low in same:
             automaton.add_word(low, low)
         automaton.make_automaton()
         for batch in batches:
             rows, names, counts = [], [], []
-            for i, text in enumerate(batch.column(batch.schema.get_field_index(column)).to_pylist()):
+            for i, text in enumerate(batch.column(batch.schema.get_field_index("__text")).to_pylist()):
                 ends: dict[str, int] = {}
                 n: dict[str, int] = {}
-                for end, low in automaton.iter((text or "").lower()):
+                for end, low in automaton.iter(text or ""):
                     if end - len(low) >= ends.get(low, -1):
                         ends[low] = end
                         n[low] = n.get(low, 0) + 1
@@ -66,10 +76,14 @@ def _automaton(sentences: DataFrame, words: list[str], column: str) -> DataFrame
                         rows.append(i)
                         names.append(w)
                         counts.append(k)
-            taken = batch.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(names, pa.string()), pa.array(counts, pa.int64())], [*batch.schema.names, "keyword", "n"])
-
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in sentences.schema], "keyword string", "n long"])
+                if keep and not n:
+                    rows.append(i)
+                    names.append(None)
+                    counts.append(0)
+            taken = batch.take(pa.array(rows, pa.int64())).drop_columns(["__text"])
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(names, pa.string()), pa.array(counts, pa.int64())], [*taken.schema.names, "keyword", "n"])
+
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in sentences.drop("__text").schema], "keyword string", "n long"])
     return sentences.mapInArrow(run, schema)
 
 
@@ -118,15 +132,20 @@ def token_hits(df: DataFrame, keywords: list[str], ids: list[str], stopwords: fr
     if stopwords:
         each = each.join(F.broadcast(spark.createDataFrame([(w,) for w in sorted(stopwords)], "keyword string")), "keyword", "left_anti")
     words = spark.createDataFrame([(w,) for w in sorted(set(keywords))], "keyword string")
-    words = F.broadcast(words) if len(set(keywords)) <= 100 * MOST_BROADCAST else words
+    words = F.broadcast(words) if len(set(keywords)) <= MOST_BROADCAST else words
     return each.join(words, "keyword", "left_semi").groupBy(*ids, "keyword").agg(F.count(F.lit(1)).alias("n"))
 
 
-# Words that token counting may leave out.
+# Words and marks that token counting may leave out.
 STOPWORDS = frozenset(
-    "的 了 在 是 我 有 和 就 不 人 都 一 一个 上 也 很 到 说 要 去 你 会 着 没有 看 好 自己 这 他 她 它 们 这个 那个 那 什么 如果 但是 因为 所以 可以 已经 而且 或者 虽然 这些 那些 "
-    "只是 但 而 及 与 以 为 之 其 中 对 被 从 把 将 向 个 各 等 则 能 又 该 于 当 更 还 让 用 过 后 前 下 两 所 没 这样 那样 怎么 并 给 最 些 比 做 第 如 即 且 每 应 您 哪 得 使 才 再 还是 及其 "
-    "以及 因此 由于 其中 可能 已 此 需要 通过 进行 不是 如何 或 之间".split()
+    (
+        "的", "了", "在", "是", "我", "有", "和", "就", "不", "人", "都", "一", "一个", "上", "也", "很", "到", "说", "要", "去",
+        "你", "会", "着", "没有", "看", "好", "自己", "这", "他", "她", "它", "们", "这个", "那个", "那", "什么", "如果", "但是", "因为", "所以",
+        "可以", "已经", "而且", "或者", "虽然", "这些", "那些", "只是", "但", "而", "及", "与", "以", "为", "之", "其", "中", "对", "被", "从",
+        "把", "将", "向", "个", "各", "等", "则", "能", "又", "该", "于", "当", "更", "还", "让", "用", "过", "后", "前", "下",
+        "两", "所", "没", "这样", "那样", "怎么", "并", "给", "最", "些", "比", "做", "第", "如", "即", "且", "每", "应", "您", "哪",
+        "得", "使", "才", "再", "还是", "及其", "以及", "因此", "由于", "其中", "可能", "已", "此", "需要", "通过", "进行", "不是", "如何", "或", "之间",
+    )
 ) | frozenset(" \t\n\r，。、：；？！'（）【】《》—…·,.:;?!()[]{}-_/\\|@#%&*")
 
 

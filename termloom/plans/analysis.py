@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from termloom.functions.fields import date_text, month_of, percent, stock_code, year_of
+from termloom.functions.fields import date_from, date_parts, date_text, month_from, percent, stock_code, year_from
 from termloom.functions.text import sentences, strip
 from termloom.operators.dictionary import RESERVED, Dictionary, duplicates_report
 from termloom.operators.match import explode_sentences, hits, token_hits, tokens
@@ -25,6 +25,9 @@ MAX_SHEET_ROWS = 1_048_575
 REASONS = ("公司代码为空", "年份无法识别", "月份无法识别", "文本为空")
 COUNTERS = ("原始行数", "有效记录数", "进入统计记录数", "公司代码为空", "年份无法识别", "月份无法识别", "文本为空", "关键词命中次数")
 OK = "成功"
+MASKS = ("_valid", "_used", "_m1", "_m2", "_m3", "_m4")
+#: Columns that hold the parts of a date while it is read.
+PARTS = ("__date_number", "__date_text", "__date_moment")
 
 
 @dataclass(frozen=True)
@@ -78,6 +81,8 @@ class Analysis:
     dictionary: Dictionary
     spec: Spec
     statuses: dict[str, str] = field(default_factory=dict)
+    manifest: DataFrame | None = None
+    _facts: DataFrame | None = None
 
     def __post_init__(self):
         problem = missing_role(self.records.columns, self.spec)
@@ -93,17 +98,19 @@ class Analysis:
         s = self.spec
         texts = [F.col(f"`{t}`") for t in s.texts if t in self.records.columns]
         code, date = F.col(f"`{s.code}`"), F.col(f"`{s.date}`")
+        n, text, at = (F.col(c) for c in PARTS)
         roles = F.struct(
             stock_code(code).alias("_stkcd"),
-            year_of(date).alias("_year"),
-            month_of(date).alias("_month"),
-            date_text(date).alias("_date"),
+            year_from(n, text, at).alias("_year"),
+            month_from(n, text, at).alias("_month"),
+            date_from(n, text).alias("_date"),
             (F.col(s.source_file) if s.source_file in self.records.columns else F.lit("")).alias("_source_file"),
             (F.col(s.source_row).cast("long") if s.source_row in self.records.columns else F.lit(None).cast("long")).alias("_source_row"),
             joined_text(texts).alias("_text"),
         )
-        # a generator, so that the roles are computed once and not again in every filter on them
-        df = self.records.select("*", F.inline(F.array(roles)))
+        # generators, so that dates are read once and the roles made once, and not again in every filter on them
+        given = [F.col(f"`{c}`") for c in self.records.columns]
+        df = self.records.select(*given, F.inline(F.array(date_parts(date))).alias(*PARTS)).select(*given, F.inline(F.array(roles)))
         blank = strip(F.col("_stkcd")) == ""
         valid = ~blank & (F.col("_year") > 0)
         df = df.withColumns({"_m1": blank, "_m2": ~blank & (F.col("_year") == 0), "_valid": valid})
@@ -134,30 +141,68 @@ class Analysis:
         """A row for each keyword in each sentence, with its count."""
         return hits(self.sentence_rows, self.word_list)
 
+    def _tokens(self, df: DataFrame) -> DataFrame:
+        cut = df.withColumn("_text", F.array_join(sentences(F.col("_text"), self.spec.max_len, self.spec.drop_tables), "\n"))
+        return tokens(cut, "_text", self.spec.tokenizer)
+
     @property
     def counts(self) -> DataFrame:
         """The ids, keyword, n > 0."""
-        if self.spec.tokens:
-            cut = self.used.withColumn("_text", F.array_join(sentences(F.col("_text"), self.spec.max_len, self.spec.drop_tables), "\n"))
-            return token_hits(tokens(cut, "_text", self.spec.tokenizer), self.word_list, self._ids, self.spec.stopwords)
-        return self.sentence_hits.groupBy(*self._ids, "keyword").agg(F.sum("n").alias("n"))
+        each = self.facts.filter("_used").select(*self._ids, F.inline("found"))
+        return each.groupBy(*self._ids, "keyword").agg(F.sum("n").alias("n"))
+
+    @property
+    def categories(self) -> DataFrame:
+        return F.broadcast(self.dictionary.effective(self.spark))
 
     @property
     def by_category(self) -> DataFrame:
-        return self.counts.join(F.broadcast(self.dictionary.effective(self.spark)), "keyword", "left").withColumn("category", F.coalesce("category", F.lit("")))
+        return self.counts.join(self.categories, "keyword", "left").withColumn("category", F.coalesce("category", F.lit("")))
+
+    def _found(self, df: DataFrame, used: Column) -> DataFrame:
+        """The rows of ``df`` with keyword and n: one for each keyword found in each sentence or token, and one at least."""
+        text = F.when(used, F.col("_text"))
+        if self.spec.tokens:
+            stop = list(self.spec.stopwords or ())
+            cut = self._tokens(df.withColumn("_text", text)).withColumn("tokens", F.filter("tokens", lambda t: ~t.isin(stop)) if stop else F.col("tokens"))
+            each = cut.drop("_text").select("*", F.explode_outer("tokens").alias("keyword")).drop("tokens")
+            return each.join(self.categories.select("keyword", F.lit(1).cast("long").alias("n")), "keyword", "left").na.fill(0, ["n"])
+        cut = df.withColumn("sentences", sentences(text, self.spec.max_len, self.spec.drop_tables)).drop("_text")
+        return hits(cut.select("*", F.explode_outer("sentences").alias("sentence")).drop("sentences"), self.word_list, keep=True).drop("sentence")
+
+    @property
+    def facts(self) -> DataFrame:
+        """One row for each record: its ids, masks, and ``found``, the keywords in it with their counts.
+
+        The texts are read here and nowhere else; panel, detail, summary and
+        quality are aggregates of this table, which ``hold`` keeps.
+        """
+        if self._facts is not None:
+            return self._facts
+        month = F.when(F.col("_month") > 0, F.col("_month"))
+        named = {"公司代码": F.col("_stkcd"), "年份": F.col("_year"), "月份": month, "日期": F.col("_date"), "来源文件": F.col("_source_file"), "源文件行号": F.col("_source_row")}
+        columns = list(dict.fromkeys([*self._ids, *named]))
+        rows = self.derived.withColumns(named).select(F.monotonically_increasing_id().alias("_record"), *columns, *MASKS, "_text")
+        each = self._found(rows, F.col("_used")).groupBy("_record", *columns, *MASKS, "keyword").agg(F.sum("n").alias("n"))
+        one = F.when(F.col("n") > 0, F.struct("keyword", "n"))
+        return each.groupBy("_record", *columns, *MASKS).agg(F.collect_list(one).alias("found"))
+
+    def hold(self, facts: DataFrame | None = None) -> Analysis:
+        """This run with its facts written down (or those given), so that no result reads the texts again."""
+        from termloom.session import stage
+
+        self._facts = stage(self.facts) if facts is None else facts
+        return self
 
     @property
     def main(self) -> DataFrame:
         """One row for each record, month or year with a column for each category, the total and, if asked for, shares."""
         ids, cats = self._ids, self.dictionary.categories()
-        wide = self.by_category.groupBy(*ids).pivot("category", cats).agg(F.sum("n"))
-        everyone = self.used.select(*ids) if self.spec.mode == "raw" else self.used.select(*ids).distinct()
-        kept = [F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast("long").alias(c) for c in cats]
-        same = [everyone[i].eqNullSafe(wide[i]) for i in ids]
-        on = same[0]
-        for c in same[1:]:
-            on = on & c
-        full = everyone.join(wide, on, "left").select(*[everyone[i] for i in ids], *kept)
+        record = ["_record"] if self.spec.mode == "raw" else []
+        each = self.facts.filter("_used").select(*record, *ids, F.explode_outer("found").alias("f")).select(*record, *ids, "f.*")
+        found = each.join(self.categories, "keyword", "left")
+        sums = [F.coalesce(F.sum(F.when(F.col("category") == c, F.col("n"))), F.lit(0)).cast("long").alias(c) for c in cats]
+        full = found.groupBy(*ids, *record).agg(*sums).drop(*record)
         total = sum((F.col(f"`{c}`") for c in cats), F.lit(0).cast("long"))
         full = full.withColumn("总计", total)
         if self.spec.share:
@@ -182,15 +227,9 @@ class Analysis:
     @property
     def quality(self) -> DataFrame:
         """Counters of each file and of all, with rates."""
-        flag = lambda c: F.count_if(F.col(c)).alias
-        base = self.derived.groupBy(F.col("_source_file").alias("f")).agg(
-            F.count(F.lit(1)).alias("原始行数"), flag("_valid")("有效记录数"), flag("_used")("进入统计记录数"), *[flag(f"_m{i}")(r) for i, r in enumerate(REASONS, 1)]
-        )
-        if "来源文件" in self._ids:
-            found = self.counts.groupBy(F.col("来源文件").alias("f"))
-        else:
-            found = self.sentence_hits.groupBy(F.col("来源文件").alias("f"))
-        per = base.join(found.agg(F.sum("n").alias("关键词命中次数")), "f", "left").na.fill(0, ["关键词命中次数"])
+        counts = [F.count_if(c).alias(name) for c, name in zip(MASKS, COUNTERS[1:-1])]
+        hits_of = F.aggregate("found", F.lit(0).cast("long"), lambda a, f: a + f["n"])
+        per = self.facts.groupBy(F.col("来源文件").alias("f")).agg(F.count(F.lit(1)).alias("原始行数"), *counts, F.sum(hits_of).alias("关键词命中次数"))
         known = self.spark.createDataFrame(sorted(self.statuses.items()), "f string, s string")
         status = F.when(F.col("进入统计记录数") == 0, "无有效记录").otherwise(OK)
         per = per.join(F.broadcast(known), "f", "full").withColumn("状态", F.coalesce("s", status)).na.fill(0, list(COUNTERS))
@@ -235,22 +274,43 @@ class Analysis:
     def run_summary(self) -> DataFrame:
         return self.main.agg(F.countDistinct("公司代码").alias("companies"), F.min("年份").alias("first_year"), F.max("年份").alias("last_year"), F.count(F.lit(1)).alias("rows"), F.sum("总计").alias("hits"))
 
+    @property
+    def metadata(self) -> DataFrame:
+        """What the run was: its settings, its dictionary and the software, as key and value."""
+        import platform
+
+        import pyspark
+
+        from termloom import __version__
+
+        s = self.spec
+        rows = [
+            ("程序版本", __version__), ("Python", platform.python_version()), ("Spark", pyspark.__version__),
+            ("统计方式", s.mode), ("匹配方式", "分词" if s.tokens else "包含"), ("公司代码列", s.code), ("日期列", s.date), ("文本列", "、".join(s.texts)),
+            ("保留列", "、".join(s.retained)), ("占比", "是" if s.share else "否"), ("过滤疑似表格", "是" if s.drop_tables else "否"), ("句子最大长度", str(s.max_len)),
+            ("停用词数", str(len(s.stopwords or ()))), ("词典指纹", self.dictionary.fingerprint()), ("分类数", str(len(self.dictionary.categories()))),
+            ("关键词数", str(len(self.word_list))), ("保留名剔除", "、".join(self.reserved)), ("未处理文件数", str(len(self.statuses))),
+        ]
+        return self.spark.createDataFrame(rows, "`项目` string, `值` string")
+
     def sheets(self) -> dict[str, DataFrame]:
         """The sheets of the result workbook in order, sorted for the sink."""
         ids = self._ids
         names = {"raw": ("原始记录统计", "原始记录关键词"), "monthly": ("公司月份分类统计", "公司月份关键词"), "yearly": ("公司年份分类统计", "关键词明细")}[self.spec.mode]
         order = [F.asc_nulls_last(c) for c in ids]
-        meta = [("统计方式", self.spec.mode), ("词典指纹", self.dictionary.fingerprint()), ("关键词数", str(len(self.word_list))), ("保留名剔除", "、".join(self.reserved))]
+        meta = self.metadata
         notes = [("计数口径", "每个关键词独立计数，忽略大小写，不重叠"), ("切句", "先切句再计数，疑似表格的句子不计")]
-        files = self.records.select(F.col(self.spec.source_file).alias("文件")).distinct() if self.spec.source_file in self.records.columns else self.spark.createDataFrame([], "`文件` string")
+        files = self.manifest
+        if files is None:
+            files = self.facts.select(F.col("来源文件").alias("输入文件")).distinct()
         return {
             names[0]: self.main.orderBy(*order),
             names[1]: self.detail.orderBy(*order, "分类", "关键词"),
             "分类汇总": self.summary,
             "数据质量": self.quality.orderBy(F.col("文件") == "合计", "文件"),
             "异常记录": self.issues.orderBy("来源文件", "源文件行号").limit(ISSUES_A_RUN),
-            "输入文件清单": files.orderBy("文件"),
-            "运行元数据": self.spark.createDataFrame(meta, "`项目` string, `值` string"),
+            "输入文件清单": files.orderBy("输入文件"),
+            "运行元数据": meta,
             "词典诊断": self.duplicates.orderBy("keyword"),
             "分析说明": self.spark.createDataFrame(notes, "`项目` string, `说明` string"),
         }

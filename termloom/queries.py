@@ -64,6 +64,28 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.inline(F.array(cells)))
 
 
+def _resplit_sql(parts: str, most: int = 200) -> str:
+    """The SQL of ``resplit`` over a list of segments: greedy packing at each delimiter in turn, then a cut at every ``most`` characters."""
+    for d in ("；", ";", "，", ","):
+        pieces = f"list_transform(string_split(s, '{d}'), lambda p: {{'open': p, 'done': cast([] as varchar[])}})"
+        step = (
+            f"case when a.open = '' then {{'open': x.open, 'done': a.done}} when length(a.open) + 1 + length(x.open) > {most} then {{'open': x.open, 'done': list_append(a.done, a.open)}} "
+            f"else {{'open': a.open || '{d}' || x.open, 'done': a.done}} end"
+        )
+        packed = f"list_transform([list_reduce({pieces}, lambda a, x: {step})], lambda r: case when r.open <> '' then list_append(r.done, r.open) else r.done end)[1]"
+        parts = f"flatten(list_transform({parts}, lambda s: case when length(s) > {most} and contains(s, '{d}') then {packed} else [s] end))"
+    return f"flatten(list_transform({parts}, lambda s: case when length(s) > {most} then list_transform(range(0, (length(s) - 1) // {most} + 1), lambda i: substr(s, i * {most} + 1, {most})) else [s] end))"
+
+
+def _sentences_sql(text: str) -> str:
+    """The SQL of ``sentences`` for texts without page furniture, line breaks or paragraph breaks."""
+    blank = r"[\s\x{85}\x{A0}\x{3000}]"
+    strip = f"lambda s: regexp_replace(s, '^{blank}+|{blank}+$', '', 'g')"
+    parts = f"list_filter(list_transform(string_split_regex(replace({text}, chr(10), ''), '[。！？!?]'), {strip}), lambda s: s <> '')"
+    return f"""list_filter(list_transform({_resplit_sql(parts)}, {strip}),
+    lambda s: length(s) >= 8 and length(regexp_replace(s, '[^一-龥]', '', 'g')) >= 8 and length(regexp_replace(s, '[^0-9,.%\\-—、|/ ]', '', 'g')) / length(s) <= 0.45)"""
+
+
 # The SQL of the same: records with code, year and month as the rules give them for these cells.
 SQL_REPORTS = f"""
 dated as (select *, date '2020-01-01' + cast(doc_id * 37 % 1500 as integer) as d, cast(doc_id % 50 + 1 as varchar) as n from documents),
@@ -81,10 +103,7 @@ records as (select doc_id, source, raw_code, raw_date, han_text,
   case when doc_id % 6 = 4 then cast(cast(d as date) as varchar) else raw_date end as shown
   from reports),
 valid as (select * from records where code <> '' and yr > 0),
-cut as (select doc_id, source, code, yr, mon, shown,
-  list_filter(list_transform(string_split_regex(replace(han_text, chr(10), ''), '[。！？!?]'), lambda s: regexp_replace(s, '^[\\s\\x{{85}}\\x{{A0}}\\x{{3000}}]+|[\\s\\x{{85}}\\x{{A0}}\\x{{3000}}]+$', '', 'g')),
-    lambda s: length(s) >= 8 and length(regexp_replace(s, '[^一-龥]', '', 'g')) >= 8
-      and length(regexp_replace(s, '[^0-9,.%\\-—、|/ ]', '', 'g')) / length(s) <= 0.45) as sents from valid),
+cut as (select doc_id, source, code, yr, mon, shown, {_sentences_sql("han_text")} as sents from valid),
 sents as (select doc_id, source, code, yr, mon, shown, cast(unnest(range(len(sents))) as integer) as sent_no, unnest(sents) as sentence from cut)"""
 
 WORDS_SQL = ", ".join(f"('{w}', '{c}')" for w, c in sorted(DICTIONARY.category_of().items()))
@@ -94,12 +113,8 @@ found as (select s.*, w.keyword, w.category, cast((length(lower(sentence)) - len
   from sents s join words w on contains(lower(s.sentence), lower(w.keyword)))"""
 CATEGORIES = DICTIONARY.categories()
 
-#: Sentences are not cut further here, so that SQL can follow.
-UNCUT = 1 << 20
-
-
 def spec(mode: str = "raw", **more) -> Spec:
-    return Spec("raw_code", "raw_date", ("han_text",), mode, max_len=UNCUT, source_file="source", source_row="row", **more)
+    return Spec("raw_code", "raw_date", ("han_text",), mode, source_file="source", source_row="row", **more)
 
 
 def analysis(spark: SparkSession, sf_dir: str, mode: str = "raw", **more) -> Analysis:
@@ -249,7 +264,7 @@ def sentence_hits(spark, sf_dir):
 @query("J01_automaton_hits", f"with {SQL_HITS} select doc_id, sent_no, keyword, n from found")
 def automaton_hits(spark, sf_dir):
     rows = analysis(spark, sf_dir).sentence_rows.select((F.col("源文件行号") - 2).alias("doc_id"), "sent_no", "sentence")
-    return match._automaton(rows, DICTIONARY.keywords(), "sentence").drop("sentence")
+    return match.hits(rows, DICTIONARY.keywords(), most=0).drop("sentence")
 
 
 TOKEN_SQL = "with t as (select doc_id, unnest(list_filter(string_split_regex(text, '[ \\t-\\r]+'), lambda x: x <> '')) as keyword from documents) select doc_id, keyword, count(*) as n from t where keyword in {} group by all"
@@ -378,20 +393,18 @@ def corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 
 SQL_CORPUS = f"""{SQL_REPORTS.split("records as")[0].rstrip().rstrip(",")},
 terms(pos, term, tier, tier_name) as (values {", ".join(f"({i}, '{han(t)}', {n}, '{name}')" for i, (t, n, name) in enumerate(TERMS))}),
-ccut as (select lpad(cast(doc_id % 50 + 1 as varchar), 6, '0') as code, cast(doc_id % 5 + 2018 as integer) as yr, doc_id,
-  list_filter(list_transform(string_split_regex(replace(han_text, chr(10), ''), '[。！？!?]'), lambda s: trim(s, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')),
-    lambda s: length(s) >= 8 and length(s) < 200 and length(regexp_replace(s, '[^一-龥]', '', 'g')) >= 8 and length(regexp_replace(s, '[^0-9,.%\\-—、|/ ]', '', 'g')) / length(s) <= 0.45) as sents from reports),
+ccut as (select lpad(cast(doc_id % 50 + 1 as varchar), 6, '0') as code, cast(doc_id % 5 + 2018 as integer) as yr, doc_id, {_sentences_sql("han_text")} as sents from reports),
 cs as (select code, yr, doc_id, unnest(sents) as sentence from ccut),
 cf as (select cs.*, terms.*, cast((length(lower(sentence)) - length(replace(lower(sentence), term, ''))) / length(term) as bigint) as n from cs join terms on contains(lower(sentence), term))"""
 
 
-@query("A12_term_counts", f"with {SQL_CORPUS} select doc_id, term, cast(sum(n) as bigint) as n from cf where length(sentence) < 180 group by all")
+@query("A12_term_counts", f"with {SQL_CORPUS} select doc_id, term, cast(sum(n) as bigint) as n from cf group by all")
 def term_counts(spark, sf_dir):
     _, found, _ = corpus(spark, sf_dir)
     return found.groupBy(F.element_at(F.split("stem", "_"), 3).cast("long").alias("doc_id"), "term").agg(F.sum("n").alias("n"))
 
 
-@query("A14_hit_table", f"with {SQL_CORPUS} select distinct code, yr, term, tier_name, sentence from cf where length(sentence) < 180")
+@query("A14_hit_table", f"with {SQL_CORPUS} select distinct code, yr, term, tier_name, sentence from cf")
 def corpus_hit_table(spark, sf_dir):
     _, found, _ = corpus(spark, sf_dir)
     return panel.hit_table(found).toDF("code", "yr", "term", "tier_name", "sentence")
@@ -410,7 +423,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.withColumns({"LLM物理分数": n % 5, "LLM转型分数": n % 4, "LLM语气语调": n % 3, "LLM分析状态": F.when(n % 13 == 0, "失败").otherwise("成功")})
 
 
-SQL_SCORED = f"""{SQL_CORPUS}, hit as (select distinct code, yr, term, sentence from cf where length(sentence) < 180),
+SQL_SCORED = f"""{SQL_CORPUS}, hit as (select distinct code, yr, term, sentence from cf),
 sc as (select *, length(sentence) % 5 as phys, length(sentence) % 4 as trans, length(sentence) % 3 as tone,
   greatest(1, cast((length(lower(sentence)) - length(replace(lower(sentence), term, ''))) / length(term) as bigint)) as occ from hit where length(sentence) % 13 <> 0)"""
 FIRM_SQL = """count(distinct sentence) as hit_sent, cast(sum(phys) as bigint) as phys_sum, cast(sum(trans) as bigint) as trans_sum,
@@ -442,10 +455,11 @@ def score_panel(spark, sf_dir):
     return panel.score_panel(panel.keyword_panel(cut, found, terms), scored(spark, sf_dir), terms)
 
 
-RISK_SQL = """risk as (select o_orderkey, case when o_orderkey % 17 = 0 then null else cast(o_custkey % 40 as varchar) end as stkcd, cast(1992 + o_orderkey % 7 as varchar) as year,
+RISK_SQL = """risk as (select o_orderkey, case when o_orderkey % 17 = 0 then null else cast(o_custkey as varchar) end as stkcd, cast(1992 + o_orderkey % 7 as varchar) as year,
     o_totalprice as total_freq, o_totalprice / 2 as physical_freq, o_totalprice / 4 as transition_freq from orders),
-  panel as (select case when c_custkey % 13 = 0 then null else lpad(cast(c_custkey as varchar), 6, '0') end as code, cast(1992 + c_custkey % 7 as varchar) as yr, c_name, case when c_custkey % 5 = 0 then 'failed' else 'success' end as status,
-    case when c_custkey % 4 = 0 then null else c_custkey % 3 * 10 end as n from customer where c_custkey < 40)"""
+  panel as (select case when c_custkey % 13 = 0 then null else lpad(cast(c_custkey as varchar), cast(greatest(6, length(cast(c_custkey as varchar))) as integer), '0') end as code,
+    cast(1992 + c_custkey % 7 as varchar) as yr, c_name, case when c_custkey % 5 = 0 then 'failed' else 'success' end as status,
+    case when c_custkey % 4 = 0 then null else c_custkey % 3 * 10 end as n from customer)"""
 
 
 def _risk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -464,7 +478,7 @@ def _risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "J07_A19_A20_ratios",
-    f"""with {RISK_SQL}, k as (select *, coalesce(lpad(stkcd, 6, '0'), '00<NA>') as ck from risk), p as (select *, coalesce(code, '00<NA>') as ck from panel)
+    f"""with {RISK_SQL}, k as (select *, coalesce(lpad(stkcd, cast(greatest(6, length(stkcd)) as integer), '0'), '00<NA>') as ck from risk), p as (select *, coalesce(code, '00<NA>') as ck from panel)
     select o_orderkey, k.ck as stkcd_key, k.year as year_key, c_name, status, cast(n as double) as n,
       case when status is null then 'missing_mda_panel' when status = 'failed' then 'mda_extraction_failed' when n is null then 'missing_sentence_count' when n <= 0 then 'nonpositive_sentence_count' else '' end as issue,
       case when n > 0 then total_freq / n end as total_ratio, case when n > 0 then total_freq / n end as total_sentence_ratio, case when n > 0 then physical_freq / n end as physical_sentence_ratio, case when n > 0 then transition_freq / n end as transition_sentence_ratio
@@ -508,7 +522,7 @@ def scoring_cap(spark, sf_dir):
 def dual_scoring(spark, sf_dir):
     s = scoring.Scoring(dual=True)
     rows = _hits_for_scoring(spark, sf_dir)
-    _, cache = scoring.score_hits(rows.filter("pos % 2000 < 1000"), _stub(s), s, "pos")
+    _, cache = scoring.score_hits(rows.filter("`命中关键词` = 'user'"), _stub(s), s, "pos")
     return scoring.score_hits(rows, _stub(s), s, "pos", cache)[0].drop("命中句子")
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import csv
 import io
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,28 +38,59 @@ def probe(path: str) -> tuple[str, str]:
     raise ValueError(f"unknown encoding: {path}")
 
 
-def csv_header(path: str) -> list[str]:
-    encoding, delimiter = probe(path)
+def csv_header(path: str, found: tuple[str, str] | None = None) -> list[str]:
+    encoding, delimiter = found or probe(path)
     with open(path, encoding="utf-8-sig" if encoding == "utf-8" else encoding, newline="") as f:
         return column_names(next(csv.reader(f, delimiter=delimiter), []))
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str | None = None, delimiter: str | None = None) -> DataFrame:
+#: Encodings whose characters of several bytes never hold a quote, a comma, a tab or a line end: split as single bytes, decoded after.
+BYTEWISE = ("gb18030", "gbk", "big5")
+
+
+def _decoded(df: DataFrame, names: list[str], encoding: str) -> DataFrame:
+    """The texts of columns read as single bytes, in their real encoding."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [pa.array([None if t is None else t.encode("latin-1").decode(encoding, "replace") for t in b.column(i).to_pylist()], pa.string()) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*own, *b.columns[len(names) :]], b.schema.names)
+
+    return df.mapInArrow(run, ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema))
+
+
+def read_csv(spark: SparkSession, path: str | list[str], encoding: str | None = None, delimiter: str | None = None) -> DataFrame:
     """All columns as texts, cells that stand for nothing as null, with __file and __row (2 for the first row).
 
-    Row numbers come from the place in the file, so they are counted in one task
-    a file; reading stays split where they are not used.
+    Files of a list share the first one's header, encoding and delimiter. A file
+    is read in splits unless a quoted cell goes over a line end, which a scan of
+    the lines finds out. Row numbers are the place in a split and the rows of the
+    splits before it, counted once.
     """
+    paths = [path] if isinstance(path, str) else path
     if encoding is None or delimiter is None:
-        encoding, delimiter = probe(path)
-    names = csv_header(path)
-    if encoding.startswith("gb"):
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    charset = {"utf-8-sig": "UTF-8", "utf-16le": "UTF-16LE", "utf-16be": "UTF-16BE"}.get(encoding, encoding.upper())
+        encoding, delimiter = probe(paths[0])
+    names = csv_header(paths[0], (encoding, delimiter))
+    bytewise = encoding in BYTEWISE and delimiter != "|"
+    charset = "ISO-8859-1" if bytewise else {"utf-8-sig": "UTF-8", "utf-16le": "UTF-16LE", "utf-16be": "UTF-16BE"}.get(encoding, encoding.upper())
+    wide = not bytewise and not encoding.startswith("utf-8")
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    whole = wide or not spark.read.text(paths).filter(quotes % 2 == 1).isEmpty()
     schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
-    df = spark.read.csv(path, schema=schema, header=True, sep=delimiter, encoding=charset, multiLine=True, quote='"', escape='"', enforceSchema=True)
-    clean = df.select(*[F.when(~F.col(f"`{n}`").isin(*MISSING), F.col(f"`{n}`")).alias(n) for n in names])
-    return clean.withColumn("__file", F.lit(path)).withColumn("__row", F.monotonically_increasing_id() + 2)
+    df = spark.read.csv(paths, schema=schema, header=True, sep=delimiter, encoding=charset, multiLine=whole, quote='"', escape='"', enforceSchema=True)
+    file = F.when(F.lit(len(paths) == 1), F.lit(paths[0])).otherwise(F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")))
+    at = F.monotonically_increasing_id()
+    df = df.select(*[F.col(f"`{n}`") for n in names], file.alias("__file"), F.shiftright(at, 33).cast("int").alias("__split"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("__row"))
+    counts = df.groupBy("__split", "__file").agg(F.count(F.lit(1)).alias("n"), F.min("__row").alias("first")).orderBy("__split", "first").collect()  # a row a split and file
+    starts: dict[str, int] = {}
+    shifts = []
+    for r in counts:
+        shifts.append((r["__split"], r["__file"], starts.get(r["__file"], 0) - r["first"] + 2))
+        starts[r["__file"]] = starts.get(r["__file"], 0) + r.n
+    shift = F.broadcast(spark.createDataFrame(shifts, "__split int, __file string, __shift long"))
+    df = df.join(shift, ["__split", "__file"]).withColumn("__row", F.col("__row") + F.col("__shift")).select(*[F.col(f"`{n}`") for n in names], "__file", "__row")
+    df = _decoded(df, names, encoding) if bytewise else df
+    return df.select(*[F.when(~F.col(f"`{n}`").isin(*MISSING), F.col(f"`{n}`")).alias(n) for n in names], "__file", "__row")
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -43,14 +43,29 @@ def stata_names(columns: list[str]) -> dict[str, str]:
     return out
 
 
-def write_stata(df: DataFrame, path: str, labels: dict[str, str] | None = None) -> None:
-    """A panel as .dta with labels of up to 80 characters. The panel must fit the driver; wide corpora go to Parquet instead."""
+#: Cells of a panel that may come to the driver for a Stata file.
+MOST_CELLS = 50_000_000
+#: The file format of each Stata version.
+STATA_FORMATS = {12: 114, 13: 117, 14: 118, 15: 118, 16: 118, 17: 118, 18: 118}
+
+
+def write_stata(df: DataFrame, path: str, labels: dict[str, str] | None = None, version: int = 15) -> None:
+    """A panel as .dta with labels of up to 80 characters, for a Stata version.
+
+    The format is written by one process: a panel of more than MOST_CELLS cells is
+    refused before any row is fetched, and goes to Parquet instead.
+    """
     names = stata_names(df.columns)
+    cells = df.count() * len(names)
+    if cells > MOST_CELLS:
+        raise ValueError(f"a panel of {cells:,} cells does not fit a Stata file written by the driver; write Parquet instead")
+    if version not in STATA_FORMATS:
+        raise ValueError(f"unknown Stata version: {version}")
     frame = df.toPandas().rename(columns=names)
     for c in frame.columns:
         if frame[c].dtype == object:
             frame[c] = frame[c].fillna("")
-    frame.to_stata(path, write_index=False, version=118, variable_labels={names[c]: v[:80] for c, v in (labels or {}).items() if c in names})
+    frame.to_stata(path, write_index=False, version=STATA_FORMATS[version], variable_labels={names[c]: v[:80] for c, v in (labels or {}).items() if c in names})
 
 
 def read_stata(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str]]:

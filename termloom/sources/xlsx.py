@@ -6,6 +6,7 @@ folder of spreadsheets is read by as many tasks.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import tempfile
@@ -222,7 +223,7 @@ class _Reader(DataSourceReader):
 
 
 class SheetSource(DataSource):
-    """All .xlsx files of a path as texts, with __file and __row; the schema is the union of their headers."""
+    """All .xlsx files of a path, or of the JSON list in the option ``paths``, as texts, with __file and __row; the schema is the union of their headers."""
 
     @classmethod
     def name(cls):
@@ -231,6 +232,8 @@ class SheetSource(DataSource):
     def _paths(self) -> list[str]:
         from termloom.sources.files import data_files
 
+        if "paths" in self.options:
+            return json.loads(self.options["paths"])
         path = self.options["path"]
         return [path] if os.path.isfile(path) else [f for f in data_files([path])[0] if f.lower().endswith(".xlsx")]
 
