@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
+import os
+import sqlite3
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -35,6 +38,15 @@ RATE_RETRIES, RATE_WAIT, RATE_MOST = 40, 5.0, 60.0
 UNCHANGED_PROMPT = "fea337e2"
 
 
+def at_least(value: object, least: int, default: int) -> int:
+    """A whole number of at least ``least`` from an option, else the default."""
+    try:
+        n = int(str(value).strip())
+    except ValueError:
+        return default
+    return n if n >= least else default
+
+
 @dataclass(frozen=True)
 class Scoring:
     """Settings of a run; 0 for ``most`` is no cap."""
@@ -44,6 +56,14 @@ class Scoring:
     most: int = 0
     prompt: str = ""
     retries: int = 2
+    workers: int = 0  # tasks that ask at the same time; 0 leaves it to the plan
+
+    @classmethod
+    def from_inputs(cls, given: Mapping[str, object], env: Mapping[str, str] | None = None) -> Scoring:
+        """Settings from options or, where they are blank, from LLM_* variables; bad numbers take the default."""
+        env = env or {}
+        pick = lambda k: str(given.get(k) or env.get(f"LLM_{k.upper()}") or "").strip()
+        return cls(pick("model") or cls.model, bool(given.get("dual")), at_least(pick("max_sentences"), 0, cls.most), pick("prompt"), at_least(pick("max_retries"), 1, cls.retries), at_least(pick("workers"), 0, cls.workers))
 
     @property
     def model_key(self) -> str:
@@ -164,6 +184,8 @@ def score_hits(hits: DataFrame, scorer: Scorer | Column, s: Scoring, position: s
         ranked = unique.withColumn("_n", F.row_number().over(Window.partitionBy("_batch").orderBy("_first")))
         pending, skipped = ranked.filter(F.col("_n") <= s.most), ranked.filter(F.col("_n") > s.most)
     asked = pending.select(F.col("_key").alias("key"), prompt_text().alias("prompt"), *([scorer.alias("reply")] if isinstance(scorer, Column) else []))
+    if s.workers and not isinstance(scorer, Column):
+        asked = asked.repartition(s.workers)
     replies = asked.select("key", "reply", F.lit("").alias("failure")) if isinstance(scorer, Column) else asked.select("key", "prompt").mapInArrow(_asked(scorer, s.retries), "key string, reply string, failure string")
     made = result_columns(F.col("reply"), s)
     made[STATUS] = F.when(F.col("failure") != "", FAILED).otherwise(made[STATUS])
@@ -183,15 +205,45 @@ def terminal(s: Scoring, status: str, error: str) -> list[Column]:
     return [*out, F.lit(status).alias(STATUS), F.lit(error).alias(ERROR)]
 
 
-def import_json_cache(spark: SparkSession, path: str, s: Scoring) -> DataFrame:
-    """A cache of one JSON object, key to result, as a cache table."""
-    with open(path, encoding="utf-8") as f:
-        held = json.load(f)
+def _cache_table(spark: SparkSession, held: dict[str, object], s: Scoring) -> DataFrame:
     columns = [c for c, _, _ in s.fields.values()]
     rows = [(k, *[v.get(c) for c in columns], v.get(STATUS), v.get(ERROR, "")) for k, v in held.items() if isinstance(v, dict)]
     return spark.createDataFrame(rows, ", ".join(["key string", *[f"`{c}` int" for c in columns], f"`{STATUS}` string", f"`{ERROR}` string"]))
 
 
+def import_json_cache(spark: SparkSession, path: str, s: Scoring) -> DataFrame:
+    """A cache of one JSON object, key to result, as a cache table."""
+    with open(path, encoding="utf-8") as f:
+        return _cache_table(spark, json.load(f), s)
+
+
+def load_cache(spark: SparkSession, path: str, s: Scoring) -> DataFrame | None:
+    """The cache in an SQLite file of (key, result as JSON), or an older one in JSON; None if there is no file."""
+    if not os.path.exists(path):
+        return None
+    if path.endswith(".json"):
+        return import_json_cache(spark, path, s)
+    with contextlib.closing(sqlite3.connect(path)) as db:
+        held = {k: json.loads(v) for k, v in db.execute("select key, result from cache")}
+    return _cache_table(spark, held, s)
+
+
+def save_cache(fresh: DataFrame, path: str, every: int = 50) -> int:
+    """Put new results into an SQLite file, one row a key, a commit every ``every`` rows; gives their number."""
+    columns = [c for c in fresh.columns if c != "key"]
+    n = 0
+    with contextlib.closing(sqlite3.connect(path)) as db:
+        db.execute("pragma journal_mode = wal")
+        db.execute("create table if not exists cache (key text primary key, result text not null)")
+        for row in fresh.toLocalIterator():
+            db.execute("insert into cache values (?, ?) on conflict (key) do update set result = excluded.result", (row.key, json.dumps({c: row[c] for c in columns}, ensure_ascii=False)))
+            n += 1
+            if n % every == 0:
+                db.commit()
+        db.commit()
+    return n
+
+
 def merge_cache(old: DataFrame | None, new: DataFrame) -> DataFrame:
     """Both, the new row where a key is in both."""
     return new if old is None else old.join(new.select("key"), "key", "left_anti").unionByName(new)
@@ -205,3 +257,10 @@ def cost_estimate(most: int) -> str:
 def by_year(scored: DataFrame, path: str) -> None:
     """Write results by year, a missing year too; years written again replace themselves."""
     scored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("年份").parquet(path)
+
+
+def resumed_hits(df: DataFrame) -> DataFrame:
+    """A hit table read back for scoring: texts, a year that is no number as 0, without row numbers and older results."""
+    kept = [c for c in df.columns if c != "序号" and not c.startswith("LLM")]
+    year = F.coalesce(F.col("年份").cast("string").try_cast("double").cast("int"), F.lit(0))
+    return df.select(*[year.alias(c) if c == "年份" else F.col(f"`{c}`").cast("string").alias(c) for c in kept])

@@ -68,6 +68,21 @@ def missing_role(columns: list[str], spec: Spec) -> str | None:
     return None
 
 
+def lacking_roles(headers: dict[str, list[str]], spec: Spec) -> dict[str, str]:
+    """The files that lack a role, each with its status; they are skipped and listed, the others go on."""
+    found = {path: missing_role(columns, spec) for path, columns in headers.items()}
+    return {path: status for path, status in found.items() if status}
+
+
+def quality_preview(records: DataFrame, dictionary: Dictionary, spec: Spec, files: int = 100, rows: int = 500) -> DataFrame:
+    """Quality of the first ``rows`` rows of the first ``files`` files: a look before a run, not its result."""
+    file, row = F.col(spec.source_file), F.col(spec.source_row)
+    some = records.select(file.alias("f")).distinct().orderBy("f").limit(files)
+    first = records.join(F.broadcast(some), file == F.col("f"), "left_semi")
+    first = first.withColumn("__n", F.row_number().over(Window.partitionBy(file).orderBy(row))).filter(F.col("__n") <= rows).drop("__n")
+    return Analysis(first, dictionary, spec).quality
+
+
 def joined_text(columns: list[Column]) -> Column:
     """Text columns with a paragraph break between, so that no word grows across two columns."""
     return F.concat_ws("\n\n", *[F.coalesce(c, F.lit("")) for c in columns])

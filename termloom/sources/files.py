@@ -161,3 +161,41 @@ def scan_columns(paths: list[str], progress: Callable[[int, int], None] | None =
         if progress:
             progress(i, len(paths))
     return column_catalog(headers)
+
+
+def listed(spark: SparkSession, files: Iterable[str]) -> DataFrame:
+    """Paths as a table, in their order."""
+    return spark.createDataFrame([(i, f) for i, f in enumerate(files)], "pos long, path string")
+
+
+def sampled(files: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """``n`` files by a hash of seed and path: the same ones in every run, whatever the order of the listing."""
+    return files.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("path"))), "path").limit(n)
+
+
+def batch(files: DataFrame, start: int = 0, limit: int = 0) -> DataFrame:
+    """The sorted files from ``start`` on, ``limit`` of them (0: all)."""
+    rows = files.orderBy("path").offset(start)
+    return rows.limit(limit) if limit else rows
+
+
+def pending(files: DataFrame, done: DataFrame | None) -> DataFrame:
+    """The files that are not among those done."""
+    return files if done is None else files.join(done.select("path").distinct(), "path", "left_anti")
+
+
+def head(records: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows, by file and row where they are known."""
+    order = [c for c in ("__file", "__row") if c in records.columns]
+    return (records.orderBy(*order) if order else records).limit(n)
+
+
+def preview(records: DataFrame, n: int = 100, cell: int = 200) -> DataFrame:
+    """The first ``n`` rows for a look: cells as texts cut to ``cell`` characters, blank where there is nothing."""
+    return head(records, n).select(*[F.coalesce(F.substring(F.col(f"`{c}`").cast("string"), 1, cell), F.lit("")).alias(c) for c in records.columns])
+
+
+def tally(rows: DataFrame, status: str, done: str) -> DataFrame:
+    """How many rows have the status ``done``, and how many another or none."""
+    ok = F.coalesce(F.col(status) == done, F.lit(False))
+    return rows.agg(F.count_if(ok).alias("success"), F.count_if(~ok).alias("failed"))
