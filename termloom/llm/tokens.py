@@ -14,10 +14,10 @@ from __future__ import annotations
 
 import bisect
 import json
-from array import array
 from collections.abc import Iterator
 from itertools import accumulate
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -68,14 +68,17 @@ class PrefixCounter:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_letters()
-        raw = lambda token: bytes(letters[c] for c in token)
+        raw = lambda token: "".join(chr(letters[c]) for c in token)  # noqa: E731  a byte a character
         self.specials = [t["content"] for t in spec.get("added_tokens", [])]
         special = set(self.specials)
-        self.vocab = {raw(t) for t in spec["model"]["vocab"] if t not in special}
-        self.starts = {t[:i] for t in self.vocab for i in range(1, len(t) + 1)}
+        self.tokens = ahocorasick.Automaton()
+        for t in spec["model"]["vocab"]:
+            if t not in special:
+                self.tokens.add_word(raw(t), (raw(t), len(raw(t))))
+        self.tokens.make_automaton()
         merges = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
-        self.ranks: dict[tuple[bytes, bytes], int] = {}
-        self.halves: dict[bytes, tuple[bytes, bytes, int]] = {}
+        self.ranks: dict[tuple[str, str], int] = {}
+        self.halves: dict[str, tuple[str, str, int]] = {}
         for i, (x, y) in enumerate(merges):
             x, y = raw(x), raw(y)
             self.ranks[x, y] = i
@@ -90,10 +93,10 @@ class PrefixCounter:
         self.left = Kept(lambda t: self._spine(t, 0))
         self.tables = Kept(self.table)
         self.piece = Kept(lambda p: self.prefixes(p)[-1])
-        self.spaced = Kept(lambda word: sum(map(self.piece.__getitem__, self.split(" " + word))))
+        self.spaced = Kept(self._spaced)
         self.library = None
 
-    def _spine(self, token: bytes, side: int) -> list[tuple[bytes, int]]:
+    def _spine(self, token: str, side: int) -> list[tuple[str, int]]:
         """The parts that stand at one end of a token while it is merged, each with the rank that ends it."""
         out, ends = [], 1 << 60
         while True:
@@ -103,7 +106,7 @@ class PrefixCounter:
             ends = self.halves[token][2]
             token = self.halves[token][side]
 
-    def _may_follow(self, pair: tuple[bytes, bytes]) -> bool:
+    def _may_follow(self, pair: tuple[str, str]) -> bool:
         """Whether no merge across the border of two tokens comes before the merges that complete them.
 
         Equal merges go from left to right: one that completes the left token
@@ -117,26 +120,30 @@ class PrefixCounter:
                     return False
         return True
 
-    def table(self, piece: str) -> array:
-        """Counts at every byte prefix of a piece, from 0."""
-        data = piece.encode("utf-8", "replace")
-        size, starts, vocab, follows = len(data), self.starts, self.vocab, self.follows
-        last: list[bytes | None] = [None] * (size + 1)
-        count = array("i", bytes(4 * (size + 1)))
-        for start in range(size):
-            before = last[start]
-            for end in range(start + 1, size + 1):
-                token = data[start:end]
-                if token not in starts:
-                    break
-                if last[end] is None and token in vocab and (not start or follows[before, token]):
-                    last[end], count[end] = token, count[start] + 1
+    def table(self, piece: str) -> list[int]:
+        """Counts at every byte prefix of a piece, from 0. An automaton gives the tokens that end at each byte, the longest first."""
+        data = piece if piece.isascii() else piece.encode("utf-8", "replace").decode("latin-1")
+        follows = self.follows
+        last: list[str | None] = [None] * (len(data) + 1)
+        count = [0] * (len(data) + 1)
+        for at, (token, size) in self.tokens.iter(data):
+            at += 1
+            if last[at] is None:
+                start = at - size
+                if not start or follows[last[start], token]:
+                    last[at], count[at] = token, count[start] + 1
         return count
 
-    def prefixes(self, piece: str) -> array:
+    def prefixes(self, piece: str) -> list[int]:
         """The table of a piece, from the kept ones if it is short."""
         return self.tables[piece] if len(piece) <= KEPT_BYTES else self.table(piece)
 
+    def _spaced(self, word: str) -> int:
+        """Tokens of a space and a word; letters alone are one piece with it."""
+        if word.isalpha() and word.isascii():
+            return self.prefixes(" " + word)[-1]
+        return sum(map(self.piece.__getitem__, self.split(" " + word)))
+
     def pieces(self, text: str) -> list[str]:
         if self.odd(text) is None:
             return self.split(text)
@@ -201,7 +208,7 @@ class PrefixTable:
         if found is None:
             table = self.counter.prefixes(piece)
             sizes = accumulate((len(c.encode("utf-8", "replace")) for c in piece), initial=0)
-            found = self.own[start, len(piece)] = list(table) if piece.isascii() else [table[i] for i in sizes]
+            found = self.own[start, len(piece)] = table if piece.isascii() else [table[i] for i in sizes]
         return found
 
     def _before(self, k: int) -> tuple[int, int]:
