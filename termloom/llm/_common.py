@@ -52,9 +52,9 @@ def digest(*parts: Column | str | int) -> Column:
     return F.md5(F.concat_ws(":", *[F.coalesce(c.cast("string"), F.lit("null")) for c in columns]).cast("binary"))
 
 
-def leading(hexed: Column, digits: int) -> Column:
-    """The number that the first ``digits`` (13 at most) of a digest are, as a double."""
-    return F.conv(F.substring(hexed, 1, digits), 16, 10).cast("double")
+def leading(hexed: Column, digits: int, start: int = 1) -> Column:
+    """The number that ``digits`` (13 at most) of a digest are, from the place ``start``, as a double."""
+    return F.conv(F.substring(hexed, start, digits), 16, 10).cast("double")
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:

@@ -40,7 +40,7 @@ select doc_id, size, source_size, target, coalesce(n, {_crossed("rest", "rest")}
 
 OP2 = f"""with {_CRC},
   d as (select doc_id, cast(strlen(body) + 16 as bigint) as size, crc, coalesce(cast(doc_id as varchar), 'null') as key from summed),
-  draws as (select key, s, -ln(({_leading("md5('29:' || s || ':' || key)", 13)} + 0.5) / 4503599627370496.0) as cost from (select distinct key from d), range(41) r(s)),
+  draws as (select key, s, -ln((cast(cast('0x' || substr(md5('29:' || s // 4 || ':' || key), s % 4 * 8 + 1, 8) as bigint) as double) + 0.5) / 4294967296.0) as cost from (select distinct key from d), range(41) r(s)),
   homes as (select key, cast(arg_min(s, cost) filter (s < 40) as integer) as shard, cast(arg_min(s, cost) as integer) as grown_shard from draws group by key)
 select doc_id, size, crc as text_crc32, 'key' as law, shard, row_number() over (partition by shard order by md5('30:' || key || ':' || crc), doc_id, crc) - 1 as slot, grown_shard from d join homes using (key)"""
 

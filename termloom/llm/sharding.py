@@ -18,16 +18,19 @@ from termloom.llm._common import digest, distributed_rank, free_name, leading
 SPLIT = 2
 
 
-def _cost(key: Column, shard: int, weight: float, seed: int) -> Column:
-    """-ln(u) / weight of a uniform draw u; the least cost wins with odds in proportion to the weight."""
-    draw = leading(digest(seed, shard, key), 13)
-    return -F.log((draw + F.lit(0.5)) / F.lit(float(1 << 52))) / F.lit(float(weight))
+#: Draws in a digest, of DIGITS hex digits each.
+DRAWS, DIGITS = 4, 8
 
 
-def shard_of(key: Column, weights: Sequence[float], seed: int = 29) -> Column:
-    """The index in ``weights`` of the shard that takes ``key``; ties go to the smaller index."""
-    draws = [F.struct(_cost(key, i, w, seed).alias("cost"), F.lit(i).alias("shard")) for i, w in enumerate(weights) if w > 0]
-    return F.array_min(F.array(*draws))["shard"]
+def _draws(key: Column, shards: int, seed: int, prefix: str) -> dict[str, Column]:
+    """Columns with the digests that the draws of so many shards are read from."""
+    return {f"{prefix}{k}": digest(seed, k, key) for k in range(-(-shards // DRAWS))}
+
+
+def _cost(shard: int, weight: float, prefix: str) -> Column:
+    """-ln(u) / weight of a shard's uniform draw u; the least cost wins with odds in proportion to the weight."""
+    draw = leading(F.col(f"{prefix}{shard // DRAWS}"), DIGITS, shard % DRAWS * DIGITS + 1)
+    return -F.log((draw + F.lit(0.5)) / F.lit(float(1 << 4 * DIGITS))) / F.lit(float(weight))
 
 
 def shard_rows(docs: DataFrame, weights: Sequence[float] = (1.0,) * 40, grown_weight: float = 1.0, seed: int = 29, tie: Column | None = None) -> DataFrame:
@@ -44,10 +47,13 @@ def shard_rows(docs: DataFrame, weights: Sequence[float] = (1.0,) * 40, grown_we
     docs = docs.drop(*own)
     spot, rank, draw, last, order = free_name(docs, "__spot", "__rank", "__draw", "__tie", "__order")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    draws = [F.struct(_cost(key, i, w, seed).alias("cost"), F.lit(i).alias("shard")) for i, w in enumerate(weights) if w > 0]
-    grown = _cost(key, len(weights), grown_weight, seed)
+    (digests,) = free_name(docs, "__digest")
+    found = _draws(key, len(weights) + 1, seed, digests)
+    draws = [F.struct(_cost(i, w, digests).alias("cost"), F.lit(i).alias("shard")) for i, w in enumerate(weights) if w > 0]
+    grown = _cost(len(weights), grown_weight, digests)
     placed = (
-        docs.withColumns({draw: F.array_min(F.array(*draws)), last: F.crc32(F.coalesce("text", F.lit("")).cast("binary")) if tie is None else tie})
+        docs.withColumns(found)
+        .withColumns({draw: F.array_min(F.array(*draws)), last: F.crc32(F.coalesce("text", F.lit("")).cast("binary")) if tie is None else tie})
         .withColumns(
             {
                 "shard": F.col(f"{draw}.shard"),
@@ -55,6 +61,7 @@ def shard_rows(docs: DataFrame, weights: Sequence[float] = (1.0,) * 40, grown_we
                 order: digest(seed + 1, key, F.col(last)),
             }
         )
+        .drop(*found)
         .drop(draw)
         .withColumn(spot, F.substring(order, 1, SPLIT))
     )

@@ -88,7 +88,7 @@ def copies(rows):
 
 def shard_of(doc_id, n):
     key = "null" if doc_id is None else str(doc_id)
-    return min(range(n), key=lambda s: -math.log((int(md5(29, s, key)[:13], 16) + 0.5) / 2**52))
+    return min(range(n), key=lambda s: -math.log((int(md5(29, s // 4, key)[s % 4 * 8 : s % 4 * 8 + 8], 16) + 0.5) / 2**32))
 
 
 def corpus():
