@@ -15,8 +15,10 @@ sketches differ in more bits than their sets may in elements, which no pair of
 similarity ``s`` can; the others are verified by the size of the intersection.
 
 A group of n near copies would give n * n / 2 candidates.  Each set is therefore
-first compared with the one list head it meets most often; pairs that these
-links already join, and lists that hold one group only, need no comparison.  Sets
+first compared with the one list head it meets most often; the head of a list is
+its set with the most widely shared elements, as a text that many others were
+made from has.  Pairs that these links already join, and lists that hold one
+group only, need no comparison.  Sets
 that share a long passage but too little besides have their common elements too
 late to be paired, however many they are.
 """
@@ -41,7 +43,7 @@ from termloom.session import stage, unstage
 SEED = 42
 #: Documents in which common shingles are looked for, and how many of these are kept.
 SAMPLE = 20_000
-COMMON = 1 << 17
+COMMON = 1 << 19
 #: Bits that the fingerprints of the first links may differ in.
 BITS = 2
 
@@ -189,18 +191,20 @@ def similar(sets: DataFrame, docs: DataFrame, words: int, s: Fraction) -> DataFr
     x, y = (prints.select(F.col("fingerprint").alias(k), F.col("head").alias(f"head_{k}")) for k in "xy")
     close = links(prints.select("fingerprint"), BITS).distinct().toDF("x", "y").join(x, "x").join(y, "y").select(F.col("head_x").alias("a"), F.col("head_y").alias("b"))
     # prefixes: lists of several sets
-    posts = sets.select("sid", F.col("n").cast("int").alias("n"), F.posexplode("g").alias("at", "g"))
-    heads = posts.groupBy("g").agg(F.min("sid").alias("head"), F.max("sid").alias("last")).filter("head <> last").select("g", "head")
-    posts = stage(posts.join(heads, "g"))
+    posts = sets.select("sid", F.col("n").cast("int").alias("n"), F.size("g").alias("k"), F.posexplode("g").alias("at", "g"))
+    shared = posts.groupBy("g").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    posts = stage(posts.join(shared, "g"))
+    score = posts.groupBy("sid").agg((F.sum("c") / F.first("k")).alias("score"))
+    heads = stage(posts.join(score, "sid").groupBy("g").agg(F.max(F.struct("score", "sid", "n"))["sid"].alias("head")))
     m = sets.select(F.col("sid").alias("head"), F.col("n").cast("int").alias("m"))
-    tally = posts.filter("sid <> head").groupBy("sid", "n", "head").agg(F.count(F.lit(1)).alias("c")).join(m, "head")
+    tally = posts.join(heads, "g").filter("sid <> head").groupBy("sid", "n", "head").agg(F.count(F.lit(1)).alias("c")).join(m, "head")
     most = tally.filter(_enough("c", "n", "m", s)).groupBy(F.col("sid").alias("a")).agg(F.max(F.struct("c", "head")).alias("b")).select("a", "b.head")
     first = _verified(same.unionAll(close).unionAll(most).distinct(), sets, docs, words, s)
     group = stage(components(first)).withColumnsRenamed({"node": "sid"})
-    named = posts.drop("head").join(group, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    named = posts.drop("k", "c").join(group, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     mixed = named.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("g")
     left = stage(named.join(mixed, "g"))
-    unstage(prints, posts)
+    unstage(prints, posts, heads)
     # x is the smaller set: of its first common element on, it must hold what a partner of its own size needs
     p, q = s.numerator, s.denominator
     x, y = (left.select("g", *[F.col(c).alias(f"{c}_{k}") for c in ("sid", "n", "root")], (F.col("n") - F.col("at")).alias(f"rest_{k}")) for k in "xy")
@@ -224,9 +228,10 @@ def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
     s = Fraction(str(similarity))
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select("doc_id", F.xxhash64(text).alias("h"), text.cast("binary").alias("text"))
-    common, count = _common(keyed.select("text"), words)
+    held = docs.sparkSession.sparkContext.broadcast(_common(keyed.select("text"), words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, count = held.value
         for batch, texts in chunks(batches, "text"):
             found = shingle_sets(texts, words)
             made = [*_names(found), pa.array([len(x) for x in found], pa.int64()), pa.array([print_of(x) for x in found], pa.int64())]
