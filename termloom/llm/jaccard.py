@@ -43,7 +43,7 @@ from termloom.session import stage, unstage
 SEED = 42
 #: Documents in which common shingles are looked for, and how many of these are kept.
 SAMPLE = 20_000
-COMMON = 1 << 19
+COMMON = 1 << 18
 #: Bits that the fingerprints of the first links may differ in.
 BITS = 2
 
@@ -139,8 +139,8 @@ def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     n = texts.count()
     some = texts if n <= SAMPLE else texts.sample(SAMPLE / n, SEED)
     seen = some.mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
-    rows = seen.filter("c > 1").orderBy(F.desc("c")).limit(COMMON).toPandas()
-    g, c = rows["g"].to_numpy(np.int64).view(np.uint64), rows["c"].to_numpy(np.int64)
+    rows = seen.filter("c > 1").orderBy(F.desc("c")).limit(COMMON).toArrow()
+    g, c = rows["g"].to_numpy().view(np.uint64), rows["c"].to_numpy()
     order = np.argsort(g)
     return g[order], c[order]
 
