@@ -198,7 +198,7 @@ def issues(spark, sf_dir):
 # --- sentences ---------------------------------------------------------------
 
 
-@query("F04_W05_sentences", f"with {SQL_REPORTS} select doc_id, sent_no, sentence from sents")
+@query("F04_F06_W05_sentences", f"with {SQL_REPORTS} select doc_id, sent_no, sentence from sents")
 def sentence_rows(spark, sf_dir):
     a = analysis(spark, sf_dir)
     return a.sentence_rows.select((F.col("源文件行号") - 2).alias("doc_id"), "sent_no", "sentence")
@@ -330,7 +330,7 @@ def summary(spark, sf_dir):
     return analysis(spark, sf_dir).summary.toDF("category", "n", "pct")
 
 
-@query("hits_table", f"with {SQL_HITS} select code, yr, case when mon > 0 then mon end as mon, shown, source, doc_id + 2 as row_no, keyword, category, sentence from found")
+@query("J04_F16_hits_table", f"with {SQL_HITS} select code, yr, case when mon > 0 then mon end as mon, shown, source, doc_id + 2 as row_no, keyword, category, sentence from found")
 def hits_table(spark, sf_dir):
     return analysis(spark, sf_dir).hits.toDF("code", "yr", "mon", "shown", "source", "row_no", "keyword", "category", "sentence")
 
@@ -410,11 +410,6 @@ def corpus_hit_table(spark, sf_dir):
     return panel.hit_table(found).toDF("code", "yr", "term", "tier_name", "sentence")
 
 
-@query("A13_keyword_panel")
-def keyword_panel(spark, sf_dir):
-    return panel.keyword_panel(*corpus(spark, sf_dir))
-
-
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits with scores made from the sentence's length, so that no model is needed."""
     _, found, _ = corpus(spark, sf_dir)
@@ -449,12 +444,6 @@ def keyword_metrics(spark, sf_dir):
     return panel.keyword_metrics(panel.scored_rows(scored(spark, sf_dir)), terms).withColumnRenamed("year", "yr")
 
 
-@query("A18_J05_J06_score_panel")
-def score_panel(spark, sf_dir):
-    cut, found, terms = corpus(spark, sf_dir)
-    return panel.score_panel(panel.keyword_panel(cut, found, terms), scored(spark, sf_dir), terms)
-
-
 RISK_SQL = """risk as (select o_orderkey, case when o_orderkey % 17 = 0 then null else cast(o_custkey as varchar) end as stkcd, cast(1992 + o_orderkey % 7 as varchar) as year,
     o_totalprice as total_freq, o_totalprice / 2 as physical_freq, o_totalprice / 4 as transition_freq from orders),
   panel as (select case when c_custkey % 13 = 0 then null else lpad(cast(c_custkey as varchar), cast(greatest(6, length(cast(c_custkey as varchar))) as integer), '0') end as code,
@@ -507,7 +496,7 @@ STUB_FIELDS = ", ".join(f"case when n_ok then cast(length(text) % {size} as inte
 
 
 @query(
-    "L02_W02_W03_scoring",
+    "L02_L05_L07_J09_W02_W03_scoring",
     f"""with {SQL_KEYS}, u as (select role, t, min(pos) as first_pos, first(text order by pos) as text from h group by role, t),
     r as (select *, row_number() over (partition by first_pos // 10000 order by first_pos) <= 2 as n_ok from u)
     select h.pos, {STUB_FIELDS.replace("length(text)", "length(r.text)")}, case when n_ok then '成功' else '未分析' end as status from h join r on h.role = r.role and h.t = r.t""",
@@ -518,14 +507,6 @@ def scoring_cap(spark, sf_dir):
     return out.select("pos", *[c for c, _, _ in scoring.FIELDS.values()], F.col("LLM分析状态").alias("status"))
 
 
-@query("L09_J10_dual_scoring_with_cache")
-def dual_scoring(spark, sf_dir):
-    s = scoring.Scoring(dual=True)
-    rows = _hits_for_scoring(spark, sf_dir)
-    _, cache = scoring.score_hits(rows.filter("`命中关键词` = 'user'"), _stub(s), s, "pos")
-    return scoring.score_hits(rows, _stub(s), s, "pos", cache)[0].drop("命中句子")
-
-
 @query(
     "F27_F29_replies",
     """select i, case when ok then case when rel between 0 and 1 then rel else 1 end else -1 end as rel, case when ok then '成功' else '失败' end as status from
@@ -543,11 +524,6 @@ def record_keys(spark, sf_dir):
     return _hits_for_scoring(spark, sf_dir).select("pos", scoring.record_key("m").alias("record_key"))
 
 
-@query("F30_prompts")
-def prompts(spark, sf_dir):
-    return _hits_for_scoring(spark, sf_dir).select("pos", scoring.prompt_text().alias("prompt"))
-
-
 # --- sections ---------------------------------------------------------------------------
 
 
@@ -572,11 +548,6 @@ def numbers(spark, sf_dir):
     return numbered(table(spark, sf_dir, "nation").select("n_name"), "n_name").toDF("no", "n_name")
 
 
-@query("P15_P16_O09_pages", "select doc_id, source from documents order by source, doc_id limit 50 offset 20")
-def pages(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "source").orderBy("source", "doc_id").offset(20).limit(50)
-
-
 @query("U01_U02_union", "select c_custkey as k, c_name as name, null as extra from customer union all select s_suppkey, null, s_name from supplier")
 def union(spark, sf_dir):
     a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))
@@ -584,45 +555,7 @@ def union(spark, sf_dir):
     return a.unionByName(b, allowMissingColumns=True)
 
 
-@query("S10_A23_catalog", "select source, count(*) as n from documents group by source")
-def catalog(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("A22_tally", f"with {SQL_REPORTS} select count_if(yr > 0) as success, count_if(yr = 0) as failed from records")
-def tally(spark, sf_dir):
-    y = D.year_of(F.col("raw_date"))
-    return reports(spark, sf_dir).agg(F.count_if(y > 0).alias("success"), F.count_if(y == 0).alias("failed"))
-
-
 @query("A21_score_histogram", "select cast(length(text) % 5 as integer) as score, count(*) as n, round(count(*) / sum(count(*)) over (), 6) as part from conversations where text is not null group by 1")
 def histogram(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").filter("text is not null").groupBy((F.length("text") % 5).alias("score")).agg(F.count(F.lit(1)).alias("n"))
     return c.withColumn("part", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
-
-
-@query("H01_sha256", "select doc_id, sha256(text) as fp, strlen(text) as bytes from documents")
-def sha(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("fp"), F.octet_length("text").cast("long").alias("bytes"))
-
-
-@query("P17_preview", "select page_id, left(html, 200) as cell from pages order by page_id limit 100")
-def preview(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.substring("html", 1, 200).alias("cell")).orderBy("page_id").limit(100)
-
-
-@query("streaming_events", "select event_type, count(*) as n, cast(sum(user_id) as bigint) as users from events group by event_type")
-def streaming_events(spark, sf_dir):
-    """The events table read as a file stream, aggregated batch by batch and merged."""
-    import uuid
-
-    from termloom.session import checkpoint_dir
-
-    checkpoint_dir(spark)
-    base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
-    schema = table(spark, sf_dir, "events").schema
-    per = lambda df: df.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("user_id").alias("users"))
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(f"{sf_dir}/")
-    q = stream.writeStream.foreachBatch(lambda df, i: per(df).write.mode("overwrite").parquet(f"{base}/out/batch={i}")).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(f"{base}/out").groupBy("event_type").agg(F.sum("n").alias("n"), F.sum("users").alias("users"))

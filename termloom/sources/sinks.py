@@ -20,15 +20,15 @@ def cells(df: DataFrame) -> DataFrame:
     return df.select(*[F.substring(c, 1, MAX_CELL).alias(c) if t == "string" else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
-def write_sheets(path: str, sheets: dict[str, DataFrame]) -> dict[str, str]:
-    """One workbook; rows stream through the driver. A sheet with more rows than fit is also written whole as CSV.
+def write_sheets(path: str, sheets: dict[str, DataFrame], most: int = MAX_ROWS) -> dict[str, str]:
+    """One workbook; rows stream through the driver. A sheet of ``most`` rows or more, which do not fit, is also written whole as CSV.
 
     Returns the CSV files written, by sheet.
     """
     extra: dict[str, str] = {}
     folder = Path(path).with_name(f"{Path(path).stem}_csv")
     for name, df in sheets.items():
-        if df.limit(MAX_ROWS).count() >= MAX_ROWS:
+        if df.limit(most).count() >= most:
             extra[name] = str(folder / f"{name}.csv")
             write_csv(df, extra[name])
     write_workbook(path, {name: (df.columns, cells(df).toLocalIterator()) for name, df in sheets.items()})

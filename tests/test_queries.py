@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 from termloom import queries as Q
+from termloom import queries_io as IO
 
 
 def pack(s, most=200):
@@ -37,7 +38,7 @@ def test_corpus_keeps_long_sentences(spark, tmp_path):
                     want[i, Q.han(term)] += s.count(Q.han(term))
     got = {(r.doc_id, r.term): r.n for r in Q.term_counts(spark, str(tmp_path)).collect()}
     assert got == {k: n for k, n in want.items() if n}
-    assert sorted(r.mda_sent for r in Q.keyword_panel(spark, str(tmp_path)).collect()) == sorted(sents.values())
+    assert sorted(r.mda_sent for r in IO.keyword_panel(spark, str(tmp_path)).collect()) == sorted(sents.values())
     hits = Q.corpus_hit_table(spark, str(tmp_path)).collect()
     assert max(len(r.sentence) for r in hits) == 200
     scored = sum(len(s) % 13 != 0 for s in {(r.code, r.yr, r.sentence): r.sentence for r in hits}.values())
