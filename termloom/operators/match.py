@@ -25,7 +25,8 @@ MOST_BROADCAST = 100_000
 def explode_sentences(df: DataFrame, sentences: str = "sentences") -> DataFrame:
     """A row a sentence, with sent_no from 0."""
     rest = [c for c in df.columns if c != sentences]
-    return df.select(*rest, F.posexplode(sentences).alias("sent_no", "sentence"))
+    # the outer form: the inner one would make the sentences once more to filter out empty arrays
+    return df.select(*rest, F.posexplode_outer(sentences).alias("sent_no", "sentence")).filter(F.col("sentence").isNotNull())
 
 
 def hits(sentences: DataFrame, keywords: list[str], column: str = "sentence", keep: bool = False, most: int = MOST_COMPARED) -> DataFrame:

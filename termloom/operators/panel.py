@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from termloom.functions.fields import ratio, zero_fill
 from termloom.functions.text import occurrences, sentences, split_body
 from termloom.operators.match import explode_sentences, hits
+from termloom.session import stage
 
 # Statuses, tones, dimensions.
 OK = "成功"
@@ -45,9 +46,11 @@ def hit_table(found: DataFrame) -> DataFrame:
 def keyword_panel(cut: DataFrame, found: DataFrame, terms: DataFrame, every_term: bool = False) -> DataFrame:
     """A row for each report: sentences, a column for each term hit anywhere (or all), totals and tiers, ratios null without sentences."""
     listed = terms.select("term", "tier").orderBy("pos").collect()  # the dictionary
-    hit = {r.term for r in found.select("term").distinct().toLocalIterator()} if not every_term else {r.term for r in listed}
+    # written down, so that learning the terms hit does not cost a reading of the reports
+    per = stage(found.groupBy("stem", "term").agg(F.sum("n").alias("n")))
+    hit = {r.term for r in per.select("term").distinct().toLocalIterator()} if not every_term else {r.term for r in listed}
     columns = [t for t in dict.fromkeys(r.term for r in listed) if t in hit]
-    wide = found.groupBy("stem").pivot("term", columns).agg(F.sum("n")) if columns else found.select("stem").distinct()
+    wide = per.groupBy("stem").pivot("term", columns).agg(F.sum("n")) if columns else per.select("stem").distinct()
     tier = dict((r.term, r.tier) for r in listed)
     base = cut.select("stem", "公司代码", "年份", F.size("sentences").alias("mda_sent")).join(wide, "stem", "left")
     base = base.na.fill(0, columns).drop("stem")

@@ -27,8 +27,22 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Bytes of a single file that are worth a shuffle, and up to which it costs little.
+SPREAD = 1 << 20, 1 << 30
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the given folder.
+
+    A single file may be one row group, which one task reads and works on alone;
+    within the bounds of SPREAD its rows, after filters and pruning, are dealt
+    over all cores. Tables of several files are read as they are.
+    """
+    df = ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if SPREAD[0] <= size <= SPREAD[1] and len(df.inputFiles()) == 1:
+        return df.repartition(spark.sparkContext.defaultParallelism)
+    return df
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
