@@ -41,6 +41,8 @@ from termloom.llm.simhash import SENT, keep_first, links
 from termloom.session import stage, unstage
 
 SEED = 42
+#: Bytes of text that a worker makes shingles of at a time; the numbers made of them take some fifty times as much.
+PART = 1 << 20
 #: Documents in which common shingles are looked for, and how many of these are kept.
 SAMPLE = 20_000
 COMMON = 1 << 18
@@ -132,7 +134,7 @@ def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """The shingles most documents of a sample share, ascending, and their counts. They order the prefixes; any choice gives the same result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, part in chunks(batches, "text"):
+        for _, part in chunks(batches, "text", PART):
             g, c = np.unique(np.concatenate(shingle_sets(part, words)), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(c)], ["g", "c"])
 
@@ -154,7 +156,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, s:
     small = need.count() <= SENT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in chunks(batches, "text"):
+        for _, texts in chunks(batches, "text", PART):
             found = shingle_sets(texts, words)
             yield pa.RecordBatch.from_arrays([*_names(found), _lists(found)], ["s1", "s2", "g"])
 
@@ -232,7 +234,7 @@ def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, count = held.value
-        for batch, texts in chunks(batches, "text"):
+        for batch, texts in chunks(batches, "text", PART):
             found = shingle_sets(texts, words)
             made = [*_names(found), pa.array([len(x) for x in found], pa.int64()), pa.array([print_of(x) for x in found], pa.int64())]
             made += [pa.array([sketch(x) for x in found], pa.binary()), _lists([prefix(x, common, count, s) for x in found])]
