@@ -110,11 +110,6 @@ def occurrences(c: Column, keyword: Column) -> Column:
     return F.when(F.length(k) > 0, ((F.length(low) - F.length(F.replace(low, k, F.lit("")))) / F.length(k)).cast("long")).otherwise(F.lit(0).cast("long"))
 
 
-def literal_count(c: Column, keyword: str) -> Column:
-    """The same for one keyword, by a quoted pattern."""
-    return F.regexp_count(c, F.lit(r"(?iu)\Q" + keyword.replace(r"\E", r"\E\\E\Q") + r"\E")).cast("long")
-
-
 # The table filter of paragraphs.
 TABLE_HINT = "单位[:：]|币种|附表|分行业|分产品|分地区|分销售模式|项目名称|药品名称|研发管线|营业收入|营业成本|同比增减|期末余额|期初余额|前五名客户|前五名供应商|按治疗领域|按细分行业"
 REPORT_LINE = rf"(?:20\p{{Nd}}{{2}}{BLANK}*年)?年度报告(?:全文)?(?:（.*?）)?"

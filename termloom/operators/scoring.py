@@ -244,11 +244,6 @@ def save_cache(fresh: DataFrame, path: str, every: int = 50) -> int:
     return n
 
 
-def merge_cache(old: DataFrame | None, new: DataFrame) -> DataFrame:
-    """Both, the new row where a key is in both."""
-    return new if old is None else old.join(new.select("key"), "key", "left_anti").unionByName(new)
-
-
 def cost_estimate(most: int) -> str:
     """Tokens a run may take, at 200 to 500 a sentence."""
     return f"{most * 200:,}–{most * 500:,}" if most > 0 else "unbounded"

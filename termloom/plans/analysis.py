@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from termloom.functions.fields import date_from, date_parts, date_text, month_from, percent, stock_code, year_from
 from termloom.functions.text import sentences, strip
 from termloom.operators.dictionary import RESERVED, Dictionary, duplicates_report
-from termloom.operators.match import explode_sentences, hits, token_hits, tokens
+from termloom.operators.match import explode_sentences, hits, tokens
 
 MODES = ("raw", "monthly", "yearly")
 #: Issue rows kept a chunk, a file and a run; the report is a sample by design.

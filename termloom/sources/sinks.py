@@ -85,11 +85,6 @@ def label_table(spark: SparkSession, labels: dict[str, str]) -> DataFrame:
     return spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(labels.items())], "pos int, variable string, label string")
 
 
-def described(df: DataFrame, labels: dict[str, str]) -> DataFrame:
-    """``df`` with labels as column comments."""
-    return df.select(*[F.col(f"`{c}`").alias(c, metadata={"comment": labels[c]}) if c in labels else F.col(f"`{c}`") for c in df.columns])
-
-
 def write_texts(df: DataFrame, root: str) -> DataFrame:
     """Write each row's ``body`` to ``relative`` below a folder that all workers share; one file a row, put in place when whole.
 

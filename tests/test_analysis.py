@@ -90,7 +90,7 @@ def test_scoring(spark):
     out, cache = scoring.score_hits(df, scorer, scoring.Scoring(most=3, retries=1), "pos")
     got = {r.pos: (r["LLM分析状态"], r["LLM置信度"]) for r in out.collect()}
     assert got == {0: ("成功", 1), 1: ("成功", 1), 2: ("成功", 1), 3: ("失败", -1), 4: ("未分析", -1), 10_001: ("成功", 1)}
-    held = scoring.merge_cache(None, spark.createDataFrame(cache.collect(), cache.schema))
+    held = spark.createDataFrame(cache.collect(), cache.schema)
     again, fresh = scoring.score_hits(df, F.lit("no json"), scoring.Scoring(), "pos", held)
     assert fresh.count() == 0 and {r.pos for r in again.filter("`LLM分析状态` = '成功'").collect()} == {0, 1, 2, 10_001}
     waits = []

@@ -72,7 +72,6 @@ def test_sentences(spark):
 
 def test_counts(spark):
     assert column(spark, ["AAAA a.b A.B ab", "", None], lambda c: text.occurrences(c, F.lit("aa"))) == [2, 0, None]
-    assert column(spark, ["AAAA a.b A.B ab"], lambda c: text.literal_count(c, "a.b")) == [2]
 
 
 def test_paragraphs(spark):
