@@ -13,7 +13,7 @@ import pytest
 import __spark_entry__
 import corpus_pipeline
 from termloom.llm import queries as Q
-from termloom.llm.quality import fit, labelled_sample, score_quality
+from termloom.llm.quality import fit, labelled_sample
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
