@@ -374,16 +374,14 @@ PROGRAMS = {"analyse": analyse, "extract": extract, "count-sentences": count_sen
 
 
 def main(argv: list[str] | None = None) -> int:
-    from pyspark import SparkConf
-
     from termloom.session import ship
 
     o = parser().parse_args(argv)
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(message)s", filename=getattr(o, "log_file", None), force=True)
     build = SparkSession.builder.config("spark.sql.session.timeZone", "UTC")
     tasks = getattr(o, "procs", None) or (o.workers if o.program == "analyse" else None)
-    if tasks and not SparkConf().contains("spark.master"):
-        build = build.master(f"local[{tasks}]")  # on a cluster its own settings say how many
+    if tasks and not ("PYSPARK_GATEWAY_PORT" in os.environ or "--master" in os.environ.get("PYSPARK_SUBMIT_ARGS", "")):
+        build = build.master(f"local[{tasks}]")  # what was submitted to a cluster goes by its settings
     spark = ship(build.getOrCreate())
     try:
         PROGRAMS[o.program](spark, o)

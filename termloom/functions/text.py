@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # Blanks, sentence ends, resplit delimiters, trimmed punctuation, limits.
 BLANK = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: The same, as characters.
+BLANKS = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 SENTENCE_END = "[。！？!?]"
 DELIMITERS = ("；", ";", "，", ",")
 TRIMMED = "；;：:，,、 　"
@@ -33,7 +35,7 @@ def digit_class() -> str:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{BLANK}+|{BLANK}+\z", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def squeeze(c: Column) -> Column:
@@ -82,10 +84,14 @@ def resplit(segments: Column, max_len: int = MAX_LEN) -> Column:
     def at(d: str):
         return lambda s: F.when((F.length(s) > max_len) & s.contains(d), _pack(s, d, max_len)).otherwise(F.array(s))
 
-    for d in DELIMITERS:
-        segments = F.flatten(F.transform(segments, at(d)))
-    cut = lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.length(s) - 1) / max_len).cast("int")), lambda i: F.substring(s, i * max_len + 1, F.lit(max_len)))
-    return F.flatten(F.transform(segments, lambda s: F.when(F.length(s) > max_len, cut(s)).otherwise(F.array(s))))
+    def long(segment: Column) -> Column:
+        parts = F.array(segment)
+        for d in DELIMITERS:
+            parts = F.flatten(F.transform(parts, at(d)))
+        cut = lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.length(s) - 1) / max_len).cast("int")), lambda i: F.substring(s, i * max_len + 1, F.lit(max_len)))
+        return F.flatten(F.transform(parts, lambda s: F.when(F.length(s) > max_len, cut(s)).otherwise(F.array(s))))
+
+    return F.flatten(F.transform(segments, lambda s: F.when(F.length(s) > max_len, long(s)).otherwise(F.array(s))))
 
 
 def sentences(c: Column, max_len: int = MAX_LEN, drop_tables: bool = True, compact: bool = False) -> Column:
