@@ -331,6 +331,21 @@ class Analysis:
         }
 
 
-def numbered(df: DataFrame, *order: Column | str) -> DataFrame:
-    """With 序号 from 1 in the given order; one partition, so only for a sheet."""
-    return df.select(F.row_number().over(Window.orderBy(*order)).alias("序号"), "*")
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """With 序号 from 1 in the given order, sorted by it.
+
+    Rows are dealt by ranges of the order and numbered in each; the sizes of the
+    ranges, a row each, are summed up and added. No task sees all rows.
+    """
+    from termloom.session import stage
+
+    ranged = stage(df.repartitionByRange(*[F.col(f"`{c}`") for c in order]).withColumn("__range", F.spark_partition_id()))
+    sizes = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).orderBy("__range").collect()
+    before, total = [], 0
+    for r in sizes:
+        before.append((r["__range"], total))
+        total += r.n
+    offsets = F.broadcast(df.sparkSession.createDataFrame(before, "__range int, __before long"))
+    inner = F.row_number().over(Window.partitionBy("__range").orderBy(*[F.col(f"`{c}`") for c in order]))
+    found = ranged.withColumn("__inner", inner).join(offsets, "__range").withColumn("序号", F.col("__before") + F.col("__inner"))
+    return found.select("序号", *df.columns).orderBy("序号")

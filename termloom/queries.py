@@ -543,9 +543,9 @@ def section_counts(spark, sf_dir):
 # --- order, limits, sets, hashes -----------------------------------------------------------
 
 
-@query("W01_O03_numbered", "select row_number() over (order by n_name) as no, n_name from nation")
+@query("W01_O03_numbered", "select row_number() over (order by c_mktsegment, c_name) as no, c_mktsegment, c_name from customer")
 def numbers(spark, sf_dir):
-    return numbered(table(spark, sf_dir, "nation").select("n_name"), "n_name").toDF("no", "n_name")
+    return numbered(table(spark, sf_dir, "customer").select("c_mktsegment", "c_name"), "c_mktsegment", "c_name").toDF("no", "c_mktsegment", "c_name")
 
 
 @query("U01_U02_union", "select c_custkey as k, c_name as name, null as extra from customer union all select s_suppkey, null, s_name from supplier")
