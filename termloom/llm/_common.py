@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of text that a Python step works on at a time.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def free_name(df: DataFrame, *wanted: str) -> list[str]:
