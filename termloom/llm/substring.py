@@ -42,7 +42,7 @@ GRAM = 5
 #: Occurrences from which an anchor's windows are dealt one by one; the result is the same for any number.
 HOT = 512
 #: Words of the passages that one FM-index holds, about.
-SHARD_WORDS = 400_000
+SHARD_WORDS = 200_000
 
 
 def runs(texts: list[bytes], window: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -260,13 +260,13 @@ def drop_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     ident = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"))
 
     # 1. anchors that are found at more than one place; copies of a text are the same place
-    spots = stage(rows.select("text", "th").mapInArrow(_anchors(window), "anchor long, th long, place int, n int"))
+    spots = rows.select("text", "th").mapInArrow(_anchors(window), "anchor long, th long, place int, n int")
     spot = F.xxhash64("th", "place")
     twice = stage(spots.groupBy("anchor").agg(F.min(spot).alias("a"), F.max(spot).alias("b"), F.sum("n").alias("n")).filter("a <> b").select("anchor", (F.col("n") >= HOT).alias("hot")))
     places = stage(spots.filter("n > 0").select("anchor", "th").join(twice, "anchor").groupBy("th").agg(F.collect_set(F.struct("anchor", "hot")).alias("places")))
     reps = rows.groupBy("th", "th2").agg(F.min(ident).alias("rep"))
     texts = stage(reps.join(places, "th", "left").select("th", "th2", "rep", "places"))
-    unstage(spots, twice, places)
+    unstage(twice, places)
 
     # 2. their passages, and the distinct ones with their first occurrence
     own = _packed(rows).join(texts.filter(F.col("places").isNotNull()), ["th", "th2"]).filter(ident == F.col("rep"))
