@@ -19,8 +19,10 @@ _powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
+    """The powers of the base and of its inverse, ``n`` of each at least; they are kept, so they grow by an eighth only."""
+    have = len(_powers[0])
+    if have < n:
+        size = max(n, have + have // 8)
         inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
         for i, base in enumerate((_BASE, inverse)):
             p = np.full(size, base, dtype=np.uint64)

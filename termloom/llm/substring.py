@@ -32,11 +32,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm._common import CHUNK_BYTES, chunks
+from termloom.llm._common import chunks, lean
 from termloom.llm._words import UNBLANK, Words, _power_tables, mix
 from termloom.llm.fm_index import window_matches
 from termloom.session import stage, unstage
 
+#: Bytes of text that a worker looks at together.
+PART = 1 << 20
 #: Words of an anchor.
 GRAM = 5
 #: Occurrences from which an anchor's windows are dealt one by one; the result is the same for any number.
@@ -79,7 +81,7 @@ def _anchors(window: int):
     """(anchor, th, place, n) of the first two places of an anchor in a text; n is 0 but for the first, where it counts them all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in chunks(batches, "text"):
+        for batch, texts in chunks(batches, "text", PART):
             text, anchor, place, _, _ = runs(texts, window)
             order = np.lexsort((place, anchor, text))
             text, anchor, place = text[order], anchor[order], place[order]
@@ -103,17 +105,17 @@ def _packed(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3).compress
-        for batch, texts in chunks(batches, "text"):
+        for batch, texts in chunks(batches, "text", PART):
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(given))], pa.array([press(t) for t in texts], pa.binary())], [*given, "packed"])
 
     head = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in given)
-    return rows.mapInArrow(run, f"{head}packed binary")
+    return rows.mapInArrow(lean(run), f"{head}packed binary")
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of a bounded size, with the texts of their column ``packed``."""
     full = zstandard.ZstdDecompressor().decompress
-    for batch, parts in chunks(batches, "packed", CHUNK_BYTES // 4):
+    for batch, parts in chunks(batches, "packed", PART // 2):
         yield batch, [full(x) for x in parts]
 
 
@@ -260,7 +262,7 @@ def drop_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     ident = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"))
 
     # 1. anchors that are found at more than one place; copies of a text are the same place
-    spots = rows.select("text", "th").mapInArrow(_anchors(window), "anchor long, th long, place int, n int")
+    spots = rows.select("text", "th").mapInArrow(lean(_anchors(window)), "anchor long, th long, place int, n int")
     spot = F.xxhash64("th", "place")
     twice = stage(spots.groupBy("anchor").agg(F.min(spot).alias("a"), F.max(spot).alias("b"), F.sum("n").alias("n")).filter("a <> b").select("anchor", (F.col("n") >= HOT).alias("hot")))
     places = stage(spots.filter("n > 0").select("anchor", "th").join(twice, "anchor").groupBy("th").agg(F.collect_set(F.struct("anchor", "hot")).alias("places")))
@@ -270,7 +272,7 @@ def drop_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
 
     # 2. their passages, and the distinct ones with their first occurrence
     own = _packed(rows).join(texts.filter(F.col("places").isNotNull()), ["th", "th2"]).filter(ident == F.col("rep"))
-    passages = stage(own.select("packed", F.col("rep.none").alias("none"), F.col("rep.id").alias("id"), "th", "th2", "places").mapInArrow(_passages(window), PASSAGE))
+    passages = stage(own.select("packed", F.col("rep.none").alias("none"), F.col("rep.id").alias("id"), "th", "th2", "places").mapInArrow(lean(_passages(window)), PASSAGE))
     place = F.struct("none", "id", "th", "th2", F.get("starts", 0).alias("first"))
     repeated = (F.count(F.lit(1)) > 1) | (F.max(F.size("starts")) > 1)
     gathered = passages.groupBy("anchor", "sid").agg(F.min(place).alias("at"), repeated.alias("repeated"), F.first(F.struct("hot", "windows", "passage")).alias("x"))
@@ -278,7 +280,7 @@ def drop_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
 
     # 3. what the indexes find
     shards = distinct.repartition(F.col("key")).sortWithinPartitions("key", "anchor", "sid")
-    verdicts = stage(shards.drop("hot").mapInArrow(_search(window), VERDICT))
+    verdicts = stage(shards.drop("hot").mapInArrow(lean(_search(window)), VERDICT))
     earlier = verdicts.filter("not other").select("th", "th2", "s", "e")
     others = verdicts.filter("other").select("anchor", "sid", F.struct("none", "id", "th", "th2", "first").alias("at"))
     start = passages.select("anchor", "sid", "none", "id", "th", "th2", "windows", "starts").join(others, ["anchor", "sid"]).withColumn("first", F.explode("starts"))
@@ -289,4 +291,4 @@ def drop_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     found = stage(texts.select("th", "th2", "rep").join(spans, ["th", "th2"], "left"))
     unstage(texts, passages, verdicts)
     joined = _packed(rows).join(found, ["th", "th2"]).select("doc_id", (ident != F.col("rep")).alias("copy"), "spans", "packed")
-    return joined.mapInArrow(_apply(window), f"doc_id {kind}, n_words long, n_removed long, kept binary")
+    return joined.mapInArrow(lean(_apply(window)), f"doc_id {kind}, n_words long, n_removed long, kept binary")
