@@ -21,7 +21,8 @@ PAD = r"[ \t　]*"
 PAGE_NUMBER = rf"第?{PAD}\p{{Nd}}{{1,4}}{PAD}页?(?:{PAD}/{PAD}\p{{Nd}}{{1,4}})?"
 RUNNING_HEAD = rf".{{0,30}}?\p{{Nd}}{{4}}{PAD}年?{PAD}(?:年度|半年度|度)?{PAD}报告{PAD}(?:全文)?"
 PAGE_BLOCK = rf"(?d)\n(?:{PAD}\n)*(?:{PAD}(?:{PAGE_NUMBER}|{RUNNING_HEAD}){PAD}\n(?:{PAD}\n)*)+"
-INLINE_HEAD = rf"[一-龥]{{2,20}}(?:股份)?有限公司{PAD}\p{{Nd}}{{4}}{PAD}年{PAD}年?度?报告全文"
+COMPANY = "有限公司"
+INLINE_HEAD = rf"[一-龥]{{2,20}}(?:股份)?{COMPANY}{PAD}\p{{Nd}}{{4}}{PAD}年{PAD}年?度?报告全文"
 PARAGRAPH = rf"\n{PAD}\n{BLANK}*"
 
 
@@ -59,7 +60,8 @@ def han_count(c: Column, last: str = "龥") -> Column:
 
 def is_table_like(c: Column) -> Column:
     enough_han = c.rlike(rf"^(?:[^一-龥]*+[一-龥]){{{LEAST_HAN}}}")  # stops at the last one needed
-    numeric = F.regexp_count(c, F.lit(rf"[{digit_class()},.%\-—、|/ ]"))
+    # Han runs, which are never numeric, go first: the long class is slow to try on each of their characters
+    numeric = F.regexp_count(F.regexp_replace(c, "[一-龥]++", ""), F.lit(rf"[{digit_class()},.%\-—、|/ ]"))
     return (F.length(c) == 0) | ~enough_han | (numeric / F.length(c) > F.lit(MOST_NUMERIC))
 
 
@@ -101,7 +103,8 @@ def sentences(c: Column, max_len: int = MAX_LEN, drop_tables: bool = True, compa
     """
     t = lines(F.coalesce(c, F.lit("")))
     t = F.regexp_replace(t, PAGE_BLOCK, "\n")
-    t = F.regexp_replace(t, INLINE_HEAD, "")
+    # the pattern tries every run of Han characters, so only where it can match; a transform, so that the text is made once
+    t = F.get(F.transform(F.array(t), lambda s: F.when(s.contains(COMPANY), F.regexp_replace(s, INLINE_HEAD, "")).otherwise(s)), F.lit(0))
     t = F.replace(F.regexp_replace(t, PARAGRAPH, "。"), F.lit("\n"), F.lit(""))
     parts = F.filter(F.transform(F.split(t, SENTENCE_END), strip), lambda s: s != "")
     kept = F.filter(F.transform(resplit(parts, max_len), strip), lambda s: F.length(s) >= MIN_LEN)
@@ -112,7 +115,11 @@ def sentences(c: Column, max_len: int = MAX_LEN, drop_tables: bool = True, compa
 
 def occurrences(c: Column, keyword: Column) -> Column:
     """Non-overlapping occurrences of ``keyword`` in ``c`` whatever the case; 0 for an empty keyword."""
-    low, k = F.lower(c), F.lower(keyword)
+    return occurrences_lowered(F.lower(c), F.lower(keyword))
+
+
+def occurrences_lowered(low: Column, k: Column) -> Column:
+    """The same where both are in lower case already."""
     return F.when(F.length(k) > 0, ((F.length(low) - F.length(F.replace(low, k, F.lit("")))) / F.length(k)).cast("long")).otherwise(F.lit(0).cast("long"))
 
 

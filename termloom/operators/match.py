@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.functions.text import occurrences
+from termloom.functions.text import occurrences_lowered
 
 #: Keywords that a broadcast join compares with every sentence. The dictionary is counted before it is broadcast.
 MOST_COMPARED = 50
@@ -45,10 +45,20 @@ def hits(sentences: DataFrame, keywords: list[str], column: str = "sentence", ke
     if len(words) > most:
         return _automaton(found, [(r.keyword, r["__low"]) for r in small.toLocalIterator()], keep)
     found = found.join(F.broadcast(small), F.col("__text").contains(F.col("__low")), "left" if keep else "inner")
-    n = occurrences(F.col("__text"), F.col("__low"))
+    n = occurrences_lowered(F.col("__text"), F.col("__low"))
     return found.withColumn("n", F.coalesce(n, F.lit(0).cast("long")) if keep else n).drop("__text", "__low")
 
 
+def holding(sentences: DataFrame, keywords: list[str], column: str = "sentence") -> DataFrame:
+    """The distinct rows of ``sentences`` that hold any keyword, ignoring case as ``hits`` does."""
+    words = sorted(set(keywords))
+    if len(words) > MOST_COMPARED:
+        return hits(sentences, words, column).select(*sentences.columns).distinct()
+    low = sentences.sparkSession.createDataFrame([(w,) for w in words], "__low string").select(F.lower("__low").alias("__low"))
+    found = sentences.withColumn("__text", F.lower(column)).join(F.broadcast(low), F.col("__text").contains(F.col("__low")), "left_semi")
+    return found.drop("__text").distinct()
+
+
 def _automaton(sentences: DataFrame, words: list[tuple[str, str]], keep: bool) -> DataFrame:
     """The same by an automaton of (keyword, lower-cased) pairs over the lower-cased ``__text``."""
     held = sentences.sparkSession.sparkContext.broadcast(words)

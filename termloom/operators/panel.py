@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from termloom.functions.fields import ratio, zero_fill
 from termloom.functions.text import occurrences, sentences, split_body
-from termloom.operators.match import explode_sentences, hits
+from termloom.operators.match import explode_sentences, hits, holding
 from termloom.session import stage
 
 # Statuses, tones, dimensions.
@@ -43,6 +43,19 @@ def hit_table(found: DataFrame) -> DataFrame:
     return found.groupBy("公司代码", "年份", F.col("term").alias("命中关键词"), F.col("sentence").alias("命中句子")).agg(keep.alias("分类")).select("公司代码", "年份", "命中关键词", "分类", "命中句子")
 
 
+def distinct_hits(cut: DataFrame, terms: DataFrame) -> DataFrame:
+    """The ``hit_table`` of the ``term_hits`` of ``cut``, with each text shuffled once and not once a term.
+
+    The distinct sentences are found first and matched then. What is grouped by
+    company, year and sentence afterwards needs no other shuffle.
+    """
+    listed = {r.term: r.tier_name for r in terms.orderBy(F.desc("pos")).collect()}  # the dictionary; the first of a term counts
+    kinds = cut.sparkSession.createDataFrame(list(listed.items()), "term string, tier_name string")
+    rows = explode_sentences(cut.select("公司代码", "年份", "sentences")).select("公司代码", "年份", "sentence")
+    found = hits(holding(rows, list(listed)), list(listed)).join(F.broadcast(kinds), F.col("keyword") == F.col("term"))
+    return found.select("公司代码", "年份", F.col("term").alias("命中关键词"), F.col("tier_name").alias("分类"), F.col("sentence").alias("命中句子"))
+
+
 def keyword_panel(cut: DataFrame, found: DataFrame, terms: DataFrame, every_term: bool = False) -> DataFrame:
     """A row for each report: sentences, a column for each term hit anywhere (or all), totals and tiers, ratios null without sentences."""
     listed = terms.select("term", "tier").orderBy("pos").collect()  # the dictionary
@@ -61,11 +74,15 @@ def keyword_panel(cut: DataFrame, found: DataFrame, terms: DataFrame, every_term
     return out
 
 
-def scored_rows(scored: DataFrame) -> DataFrame:
-    """Successful rows with both scores: code, year, keyword, sentence, phys, trans, tone (neutral if missing), occ."""
+def scored_rows(scored: DataFrame, filled: bool = False) -> DataFrame:
+    """Successful rows with both scores: code, year, keyword, sentence, phys, trans, tone (neutral if missing), occ.
+
+    ``filled`` says that the codes have their zeros, as those of ``hit_table``
+    do; they are then left as they are, and so is the partitioning by them.
+    """
     num = lambda c: F.col(c).cast("string").try_cast("double").cast("int")
     rows = scored.filter(F.col("LLM分析状态") == OK).select(
-        zero_fill(F.col("公司代码").cast("string"), 6).alias("code"),
+        (F.col("公司代码") if filled else zero_fill(F.col("公司代码").cast("string"), 6)).alias("code"),
         F.col("年份").cast("int").alias("year"),
         F.col("命中关键词").alias("keyword"),
         F.col("命中句子").alias("sentence"),
@@ -76,28 +93,40 @@ def scored_rows(scored: DataFrame) -> DataFrame:
     return rows.filter("phys is not null and trans is not null and code is not null and year is not null").withColumn("occ", F.greatest(F.lit(1).cast("long"), occurrences(F.col("sentence"), F.col("keyword"))))
 
 
+def _by_sentence(rows: DataFrame, keys: list[str], metrics: dict[str, tuple[str, Column]]) -> DataFrame:
+    """The metrics of each group: a ``sum`` over its rows, or a ``count`` of the distinct sentences with a condition.
+
+    Rows are first brought to one a sentence, with a bit for each condition met, so that
+    a text is shuffled once at most; distinct counts are given a copy for every condition.
+    """
+    sums = {name: c for name, (kind, c) in metrics.items() if kind == "sum"}
+    bits = {name: 1 << i for i, name in enumerate(m for m in metrics if m not in sums)}
+    met = sum((F.when(metrics[name][1], bit).otherwise(0) for name, bit in bits.items()), F.lit(0))
+    one = rows.groupBy(*keys, "sentence").agg(*[F.sum(c).alias(name) for name, c in sums.items()], F.bit_or(F.when(F.col("sentence").isNotNull(), met).otherwise(0)).alias("__met"))
+    total = lambda name: F.sum(name) if name in sums else F.count_if(F.col("__met").bitwiseAND(bits[name]) != 0)
+    return one.groupBy(*keys).agg(*[total(name).alias(name) for name in metrics])
+
+
 def firm_year(rows: DataFrame) -> DataFrame:
     """Distinct sentences and score sums of each company year."""
-    count = lambda cond: F.count_distinct(F.when(cond, F.col("sentence")))
-    parts: list[Column] = [F.count_distinct("sentence").alias("hit_sent"), F.sum("phys").alias("phys_sum"), F.sum("trans").alias("trans_sum")]
+    metrics = {"hit_sent": ("count", F.lit(True)), "phys_sum": ("sum", F.col("phys")), "trans_sum": ("sum", F.col("trans"))}
     for d in DIMENSIONS:
-        parts += [count(F.col(d) >= 1).alias(f"{d}_rel_sent"), count(F.col(d) == 0).alias(f"{d}_zero_sent")]
-    return rows.groupBy("code", "year").agg(*parts)
+        metrics |= {f"{d}_rel_sent": ("count", F.col(d) >= 1), f"{d}_zero_sent": ("count", F.col(d) == 0)}
+    return _by_sentence(rows, ["code", "year"], metrics)
 
 
 def keyword_metrics(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """The 22 metrics of each company, year and listed term, long; terms not listed are left out."""
     joined = rows.join(F.broadcast(terms.groupBy(F.col("term").alias("keyword")).agg(F.max("var").alias("var"))), "keyword")
-    count = lambda cond: F.count_distinct(F.when(cond, F.col("sentence")))
-    add = lambda cond, c: F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0)).cast("long")
-    parts: list[Column] = [F.sum("occ").alias("occ_all"), F.count_distinct("sentence").alias("sent_all")]
+    add = lambda cond, c: ("sum", F.when(cond, F.col(c)).otherwise(0))
+    metrics = {"occ_all": ("sum", F.col("occ")), "sent_all": ("count", F.lit(True))}
     for d in DIMENSIONS:
         hit = F.col(d) >= 1
-        parts += [add(hit, "occ").alias(f"{d}_occ"), count(hit).alias(f"{d}_sent"), F.sum(d).alias(f"{d}_score"), count(F.col(d) == 0).alias(f"{d}_zero_sent")]
+        metrics |= {f"{d}_occ": add(hit, "occ"), f"{d}_sent": ("count", hit), f"{d}_score": ("sum", F.col(d)), f"{d}_zero_sent": ("count", F.col(d) == 0)}
         for code, name in TONES.items():
             toned = hit & (F.col("tone") == code)
-            parts += [add(toned, "occ").alias(f"{d}_{name}_occ"), count(toned).alias(f"{d}_{name}_sent")]
-    return joined.groupBy("code", "year", "var").agg(*parts)
+            metrics |= {f"{d}_{name}_occ": add(toned, "occ"), f"{d}_{name}_sent": ("count", toned)}
+    return _by_sentence(joined, ["code", "year", "var"], metrics)
 
 
 def wide_metrics(metrics: DataFrame, variables: list[str]) -> DataFrame:
@@ -107,9 +136,9 @@ def wide_metrics(metrics: DataFrame, variables: list[str]) -> DataFrame:
     return wide.na.fill(0).select("code", "year", *[F.col(f"{v}_{n}").cast("int").alias(f"{v}_{n}") for n in names for v in variables])
 
 
-def score_panel(panel: DataFrame, scored: DataFrame, terms: DataFrame) -> DataFrame:
+def score_panel(panel: DataFrame, scored: DataFrame, terms: DataFrame, filled: bool = False) -> DataFrame:
     """The keyword panel with company-year and keyword metrics joined on, 0 where there are none."""
-    rows = scored_rows(scored)
+    rows = scored_rows(scored, filled)
     variables = [r["var"] for r in terms.orderBy("pos").collect()]
     base = panel.select(zero_fill(F.col("公司代码").cast("string"), 6).alias("code"), F.col("年份").cast("int").alias("year"), "mda_sent", "total_freq", "total_ratio")
     out = base.join(firm_year(rows), ["code", "year"], "left").join(wide_metrics(keyword_metrics(rows, terms), variables), ["code", "year"], "left")

@@ -410,11 +410,11 @@ def corpus_hit_table(spark, sf_dir):
     return panel.hit_table(found).toDF("code", "yr", "term", "tier_name", "sentence")
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits with scores made from the sentence's length, so that no model is needed."""
-    _, found, _ = corpus(spark, sf_dir)
+def scored(spark: SparkSession, sf_dir: str, held: DataFrame | None = None) -> DataFrame:
+    """Hits with scores made from the sentence's length, so that no model is needed; ``held`` is the cut corpus, if it is written down."""
+    cut, _, terms = corpus(spark, sf_dir)
     n = F.length("命中句子")
-    t = panel.hit_table(found)
+    t = panel.distinct_hits(cut if held is None else held, terms)
     return t.withColumns({"LLM物理分数": n % 5, "LLM转型分数": n % 4, "LLM语气语调": n % 3, "LLM分析状态": F.when(n % 13 == 0, "失败").otherwise("成功")})
 
 
@@ -428,7 +428,7 @@ FIRM_SQL = """count(distinct sentence) as hit_sent, cast(sum(phys) as bigint) as
 
 @query("A15_firm_year", f"with {SQL_SCORED} select code, yr, {FIRM_SQL} from sc group by code, yr")
 def firm_year(spark, sf_dir):
-    return panel.firm_year(panel.scored_rows(scored(spark, sf_dir))).withColumnRenamed("year", "yr")
+    return panel.firm_year(panel.scored_rows(scored(spark, sf_dir), filled=True)).withColumnRenamed("year", "yr")
 
 
 METRIC_SQL = "cast(sum(occ) as bigint) as occ_all, count(distinct sentence) as sent_all, " + ", ".join(
@@ -441,7 +441,7 @@ METRIC_SQL = "cast(sum(occ) as bigint) as occ_all, count(distinct sentence) as s
 @query("A16_J08_keyword_metrics", f"with {SQL_SCORED} select code, yr, 'kw' || lpad(cast(pos + 1 as varchar), 3, '0') as var, {METRIC_SQL} from sc join terms using (term) group by code, yr, pos")
 def keyword_metrics(spark, sf_dir):
     _, _, terms = corpus(spark, sf_dir)
-    return panel.keyword_metrics(panel.scored_rows(scored(spark, sf_dir)), terms).withColumnRenamed("year", "yr")
+    return panel.keyword_metrics(panel.scored_rows(scored(spark, sf_dir), filled=True), terms).withColumnRenamed("year", "yr")
 
 
 RISK_SQL = """risk as (select o_orderkey, case when o_orderkey % 17 = 0 then null else cast(o_custkey as varchar) end as stkcd, cast(1992 + o_orderkey % 7 as varchar) as year,

@@ -432,8 +432,9 @@ _VARS = [f"kw{i + 1:03d}" for i in range(len(TERMS))]
     from panel p left join firm on p."公司代码" = firm.code and p."年份" = firm.yr left join k on p."公司代码" = k.code and p."年份" = k.yr""",
 )
 def score_panel(spark, sf_dir):
-    cut, found, terms = corpus(spark, sf_dir)
-    return panel.score_panel(panel.keyword_panel(cut, found, terms), scored(spark, sf_dir), terms)
+    cut, _, terms = corpus(spark, sf_dir)
+    cut = stage(cut, "zstd")  # cutting sentences is most of the work; all parts read them here
+    return panel.score_panel(panel.keyword_panel(cut, panel.term_hits(cut, terms), terms), scored(spark, sf_dir, cut), terms, filled=True)
 
 
 @query("S20_sentence_panel", "select coalesce(case when c_custkey % 13 > 0 then lpad(cast(c_custkey as varchar), cast(greatest(6, length(cast(c_custkey as varchar))) as integer), '0') end, '00<NA>') as stkcd_key, cast(1992 + c_custkey % 7 as varchar) as year_key, c_name as mda_company_name, case when c_custkey % 5 > 0 then cast(c_custkey % 9 as double) end as mda_sentence_count from customer")

@@ -58,16 +58,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def stage(df: DataFrame) -> DataFrame:
+def stage(df: DataFrame, codec: str | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared checkpoint folder and read again.
 
     Cuts the lineage, survives lost executors, and leaves no partitioning behind
     that would keep Spark from splitting skewed keys of a later join.  The files
-    go with ``unstage``, or else when the application ends.
+    go with ``unstage``, or else when the application ends.  ``codec`` is for
+    long texts, which zstd makes much smaller than the usual one.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     out = spark.read.schema(df.schema).parquet(path)

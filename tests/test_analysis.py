@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -158,3 +159,38 @@ def test_command_line(spark, tmp_path):
     assert main(["count-sentences", "--src-root", str(tmp_path / "mda"), "--output", str(tmp_path / "s.csv")]) == 0
     assert "600000,2021,甲" in (tmp_path / "s.csv").read_text(encoding="utf-8-sig")
     assert main(["extract", "--src-root", str(tmp_path), "--out-root", str(tmp_path)]) == 2
+
+
+def test_score_metrics_against_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["1", "000001", "2"]), rng.choice([2020, 2021]), rng.choice(["a", "b", "c"]), rng.choice(["aab", "ab b", "c", "", None]), str(rng.randint(0, 2)), str(rng.randint(0, 2)), rng.choice([None, "0", "1", "2", "7"])) for _ in range(400)]
+    given = spark.createDataFrame(rows, "`公司代码` string, `年份` int, `命中关键词` string, `命中句子` string, `LLM物理分数` string, `LLM转型分数` string, `LLM语气语调` string").withColumn("LLM分析状态", F.lit("成功"))
+    made = [(c.zfill(6), y, k, s, int(p), int(t), 1 if tone is None else int(tone), max(1, (s or "").count(k))) for c, y, k, s, p, t, tone in rows]
+    distinct = lambda group, cond: len({r[3] for r in group if cond(r) and r[3] is not None})
+    scored = panel.scored_rows(given)
+    for r in panel.firm_year(scored).collect():
+        g = [m for m in made if m[:2] == (r.code, r.year)]
+        assert (r.hit_sent, r.phys_sum, r.trans_sum) == (distinct(g, lambda m: True), sum(m[4] for m in g), sum(m[5] for m in g))
+        assert (r.phys_rel_sent, r.phys_zero_sent, r.trans_rel_sent, r.trans_zero_sent) == tuple(distinct(g, f) for f in (lambda m: m[4] >= 1, lambda m: m[4] == 0, lambda m: m[5] >= 1, lambda m: m[5] == 0))
+    terms = tiered(spark, [("a", 1, "x"), ("b", 1, "x"), ("zz", 1, "x")])
+    got = panel.keyword_metrics(scored, terms).collect()
+    assert len(got) == len({(m[0], m[1], m[2]) for m in made if m[2] != "c"}) and len(got[0]) == 3 + 22
+    for r in got:
+        g = [m for m in made if m[:3] == (r.code, r.year, {"kw001": "a", "kw002": "b"}[r["var"]])]
+        assert (r.occ_all, r.sent_all) == (sum(m[7] for m in g), distinct(g, lambda m: True))
+        for d, i in (("phys", 4), ("trans", 5)):
+            want = [sum(m[7] for m in g if m[i] >= 1), distinct(g, lambda m: m[i] >= 1), sum(m[i] for m in g), distinct(g, lambda m: m[i] == 0)]
+            for tone in range(3):
+                want += [sum(m[7] for m in g if m[i] >= 1 and m[6] == tone), distinct(g, lambda m: m[i] >= 1 and m[6] == tone)]
+            names = ["occ", "sent", "score", "zero_sent", *(f"{t}_{n}" for t in ("neg", "neu", "pos") for n in ("occ", "sent"))]
+            assert [r[f"{d}_{n}"] for n in names] == want
+
+
+@pytest.mark.parametrize("most", [0, 50])
+def test_distinct_hits_are_the_hit_table(spark, monkeypatch, most):
+    monkeypatch.setattr(match, "MOST_COMPARED", most)
+    monkeypatch.setattr(match.hits, "__defaults__", ("sentence", False, most))
+    terms = tiered(spark, [("绿色", 1, "一"), ("esg", 2, "二"), ("绿色", 2, "三"), ("ESG", 3, "四"), ("未见", 2, "二")])
+    cut = spark.createDataFrame([("a", "000001", 2020, ["绿色Esg", "绿色", "无", None]), ("b", "000001", 2020, ["绿色", "esG绿色"]), ("c", "000002", 2020, ["绿色"]), ("d", "000003", 2020, [])], "stem string, `公司代码` string, `年份` int, sentences array<string>")
+    want = sorted(map(tuple, panel.hit_table(panel.term_hits(cut, terms)).collect()))
+    assert sorted(map(tuple, panel.distinct_hits(cut, terms).collect())) == want and len(want) == 8

@@ -1,6 +1,7 @@
 """Registered queries on small tables against plain Python."""
 
 import random
+import re
 from collections import Counter
 
 from termloom import queries as Q
@@ -60,3 +61,14 @@ def test_ratios_join_all_customers(spark, tmp_path):
     got = [(r.o_orderkey, r.stkcd_key, r.c_name, r.n, r.total_ratio) for r in Q.ratio_table(spark, str(tmp_path)).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert {c for _, _, c, _, _ in got} > {"c40", "c41", "c1234567"}
+
+
+def test_score_panel_shuffles_texts_once(spark, tmp_path):
+    """Copies of the texts for every distinct count, and a shuffle of them for every term, filled the disk."""
+    rows = [(i, "the nation und quexx." * 3 + "er the tion que und" * (1 + i % 3) + f".tion{'abcdefgh'[i % 8]}the que er", "s") for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = IO.score_panel(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan
+    keys = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "sentence" in line]
+    assert 1 <= len(keys) <= 2 and len({re.sub(r"#\d+L?|plan_id=\d+|^[\s:+\-]*", "", k) for k in keys}) == 1  # two that are alike are one when it runs
+    assert not any("term" in k or "var" in k for k in keys)
