@@ -101,36 +101,96 @@ def _automaton(sentences: DataFrame, words: list[tuple[str, str]], keep: bool) -
 Tokenizer = Callable[[str], list[str]]
 
 
+#: Bytes of text whose tokens a Python worker holds at a time: each is an object of some 80 bytes, and there may be one a character.
+TOKENIZED = 1 << 20
+
+
 def longest_match(words: list[str]) -> Tokenizer:
     """A tokenizer for texts without blanks: at each place the longest known word, else one character; Latin runs stay whole."""
     import re
 
-    known = set(words)
-    longest = max(map(len, known), default=1)
+    known = {w for w in words if len(w) > 1}
+    sizes: dict[str, list[int]] = {}
+    for w in sorted(known, key=len, reverse=True):
+        of = sizes.setdefault(w[0], [])
+        if len(w) not in of:
+            of.append(len(w))
+    # characters that start neither a word nor a Latin run are one token each
+    starts = re.compile(f"[A-Za-z0-9{''.join(map(re.escape, sizes))}]")
     latin = re.compile(r"[A-Za-z0-9]+")
 
+    def words_of(text: str) -> Iterator[tuple[int, str]]:
+        """Known words and Latin runs with their places; the characters between are one token each."""
+        found = starts.search(text)
+        while found:
+            i = found.start()
+            w = next((w for k in sizes.get(text[i], ()) if (w := text[i : i + k]) in known), None)
+            m = None if w else latin.match(text, i)
+            w = w or (m[0] if m else None)
+            if w:
+                yield i, w
+            found = starts.search(text, i + len(w or " "))
+
     def cut(text: str) -> list[str]:
-        out, i = [], 0
-        while i < len(text):
-            size = next((k for k in range(min(longest, len(text) - i), 1, -1) if text[i : i + k] in known), 0)
-            m = None if size else latin.match(text, i)
-            size = size or (len(m[0]) if m else 1)
-            out.append(text[i : i + size])
-            i += size
+        out: list[str] = []
+        end = 0
+        for i, w in words_of(text):
+            out += text[end:i]
+            out.append(w)
+            end = i + len(w)
+        out += text[end:]
         return out
 
+    def keeping(only: frozenset[str]) -> Tokenizer:
+        """The tokenizer that gives the tokens of ``only``, without a list of the others."""
+        if not any(len(w) == 1 for w in only):
+            return lambda text: [w for _, w in words_of(text) if w in only]
+
+        def kept(text: str) -> list[str]:
+            out: list[str] = []
+            end = 0
+            for i, w in words_of(text):
+                out += [c for c in text[end:i] if c in only]
+                if w in only:
+                    out.append(w)
+                end = i + len(w)
+            out += [c for c in text[end:] if c in only]
+            return out
+
+        return kept
+
+    cut.keeping = keeping
     return cut
 
 
-def tokens(df: DataFrame, column: str, tokenizer: Tokenizer | None = None) -> DataFrame:
-    """``df`` with ``tokens``; at blanks by default, natively, else by ``tokenizer`` in Arrow batches."""
+def tokens(df: DataFrame, column: str, tokenizer: Tokenizer | None = None, only: list[str] | None = None) -> DataFrame:
+    """``df`` with ``tokens``; at blanks by default, natively, else by ``tokenizer`` in Arrow batches.
+
+    With ``only``, those of a tokenizer that are not of this list are left out where they are made.
+    """
     if tokenizer is None:
         return df.withColumn("tokens", F.filter(F.split(F.coalesce(column, F.lit("")), r"\s+"), lambda t: t != ""))
+    wanted = None if only is None else frozenset(only)
+    most = TOKENIZED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
+
+        keeping = getattr(tokenizer, "keeping", lambda only: lambda text: [w for w in tokenizer(text) if w in only])
+        make = tokenizer if wanted is None else keeping(wanted)
         for b in batches:
-            cut = [tokenizer(t or "") for t in b.column(b.schema.get_field_index(column)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cut, pa.list_(pa.string()))], [*b.schema.names, "tokens"])
+            at = b.schema.get_field_index(column)
+            size = pc.fill_null(pc.binary_length(b.column(at)), 0).to_pylist()
+            start = 0
+            while start < b.num_rows:
+                stop, held = start + 1, size[start]
+                while stop < b.num_rows and held + size[stop] <= most:
+                    held += size[stop]
+                    stop += 1
+                part = b.slice(start, stop - start)
+                made = [make(t or "") for t in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.list_(pa.string()))], [*b.schema.names, "tokens"])
+                start = stop
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema], "tokens array<string>"])
     return df.mapInArrow(run, schema)

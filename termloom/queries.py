@@ -279,7 +279,7 @@ def token_counts(spark, sf_dir):
 @query("F15_longest_match_tokens")
 def longest_match_tokens(spark, sf_dir):
     d = reports(spark, sf_dir).select("doc_id", "han_text")
-    cut = match.tokens(d, "han_text", match.longest_match(DICTIONARY.keywords()))
+    cut = match.tokens(d, "han_text", match.longest_match(DICTIONARY.keywords()), DICTIONARY.keywords())
     return match.token_hits(cut, DICTIONARY.keywords(), ["doc_id"])
 
 

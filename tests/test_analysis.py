@@ -1,5 +1,7 @@
 import json
 import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -194,3 +196,45 @@ def test_distinct_hits_are_the_hit_table(spark, monkeypatch, most):
     cut = spark.createDataFrame([("a", "000001", 2020, ["绿色Esg", "绿色", "无", None]), ("b", "000001", 2020, ["绿色", "esG绿色"]), ("c", "000002", 2020, ["绿色"]), ("d", "000003", 2020, [])], "stem string, `公司代码` string, `年份` int, sentences array<string>")
     want = sorted(map(tuple, panel.hit_table(panel.term_hits(cut, terms)).collect()))
     assert sorted(map(tuple, panel.distinct_hits(cut, terms).collect())) == want and len(want) == 8
+
+
+def plain_longest_match(words, text):
+    """One place after the other: the longest word of two characters or more, a Latin run, a character."""
+    out, i = [], 0
+    while i < len(text):
+        size = max((len(w) for w in words if len(w) > 1 and text.startswith(w, i)), default=0)
+        m = None if size else re.compile("[A-Za-z0-9]+").match(text, i)
+        size = size or (len(m[0]) if m else 1)
+        out.append(text[i : i + size])
+        i += size
+    return out
+
+
+def test_longest_match_against_brute_force():
+    rng = random.Random(9)
+    for _ in range(400):
+        words = ["".join(rng.choice("绿色环a1]^-b😀") for _ in range(rng.randint(0, 4))) for _ in range(rng.randint(0, 6))]
+        text = "".join(rng.choice("绿色环a1]^-b😀 \n保") for _ in range(rng.randint(0, 40)))
+        cut, want = match.longest_match(words), plain_longest_match(words, text)
+        assert cut(text) == want
+        for only in (frozenset(words), frozenset(w for w in words if len(w) > 1), frozenset({"a", "保", "1b"})):
+            assert cut.keeping(only)(text) == [w for w in want if w in only]
+
+
+def test_tokens_are_made_of_small_parts(spark, monkeypatch):
+    """A batch of ten thousand texts was cut as a whole, with an object for each character."""
+    monkeypatch.setattr(match, "TOKENIZED", 40)
+    words = ["绿色", "色a", "保"]
+    texts = ["绿色保a绿色" * (i % 7) + "环" * (i % 3) if i % 5 else None for i in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, s string").coalesce(1)
+    cut = match.longest_match(words)
+    assert {r.i: (r.s, r.tokens) for r in match.tokens(df, "s", cut).collect()} == {i: (t, plain_longest_match(words, t or "")) for i, t in enumerate(texts)}
+    want = Counter((i, w) for i, t in enumerate(texts) for w in plain_longest_match(words, t or "") if w in words)
+    for tokenizer in (cut, lambda text: plain_longest_match(words, text)):
+        held = match.tokens(df, "s", tokenizer, words)
+        assert max(len(r.tokens) for r in held.collect()) == 18 and {(r.i, r.keyword): r.n for r in match.token_hits(held, words, ["i"]).collect()} == want
+
+    sizes = []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: sizes.extend(b.num_rows for b in run(iter(self.toArrow().to_batches()))) or self)
+    match.tokens(df, "s", cut)
+    assert len(sizes) > 20 and sum(sizes) == 200  # one batch came in
